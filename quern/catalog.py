@@ -1,0 +1,6 @@
+"""Registry of the engine's queries and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
