@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.bpe import encode_digest
+
+    return encode_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontam import find_contamination
 
@@ -34,5 +40,8 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_benchmark_decontamination": op6_benchmark_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_codec": op3_bpe_codec,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": SQL6}
