@@ -19,6 +19,7 @@ their doc_id, repeated or null; other columns are ignored.
 from __future__ import annotations
 
 import gc
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -327,15 +328,16 @@ class Bpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-_models: dict[int, Bpe] = {}
+_models: dict[bytes, Bpe] = {}
 
 
-def _model(vocabulary) -> Bpe:
-    """One model per Python worker and broadcast."""
-    if vocabulary.id not in _models:
+def _model(vocabulary: bytes) -> Bpe:
+    """One model per Python worker and vocabulary; workers outlive tasks."""
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _models:
         _models.clear()
-        _models[vocabulary.id] = Bpe(vocabulary.value)
-    return _models[vocabulary.id]
+        _models[key] = Bpe(vocabulary)
+    return _models[key]
 
 
 def vocabulary_bytes(path: str | None = None) -> bytes:
@@ -353,7 +355,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
     def run(batches):
-        bpe = _model(shared)
+        bpe = _model(shared.value)
         for batch in chunked(batches):
             got = bpe.rendered(text_column(batch, "text").to_pylist())
             ids = pa.array([np.array(i.split(), np.int32) for i, _, _ in got], pa.list_(pa.int32()))
@@ -367,7 +369,7 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
     def run(batches):
-        bpe = _model(shared)
+        bpe = _model(shared.value)
         for batch in chunked(batches):
             got = bpe.rendered(text_column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha256_hex(i.encode()) for i, _, _ in got]), pa.array([sha256_hex(d.encode()) for _, _, d in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
