@@ -17,6 +17,12 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import classify
+
+    return classify(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontam import find_contamination
 
@@ -42,6 +48,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": SQL6}
