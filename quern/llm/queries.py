@@ -46,9 +46,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": SQL6}
