@@ -52,10 +52,17 @@ def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pii import digest
+
+    return digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
+    "op8_pii_boosted": op8_pii_boosted,
 }
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": SQL6}
