@@ -194,23 +194,44 @@ def _scan(windows, first: bool, last: bool):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """One row per document: words, hit words, items with occurring windows, and the longest verbatim
-    match (words, first word in the document, item).  See the module's docstring for edge cases."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, window: int):
+    """The windows of each block of the benchmark, one broadcast at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = sorted({(r[0], r[1]) for r in part.collect()}, key=lambda r: (r[0] or "", r[1] or ""))
-        shared = spark.sparkContext.broadcast(Windows(rows, window))
-        out = out.mapInArrow(_scan(shared, b == 0, b == blocks - 1), OUT if b == blocks - 1 else CARRY)
+        yield b == 0, b == blocks - 1, benchmark.sparkSession.sparkContext.broadcast(Windows(rows, window))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """One row per document: words, hit words, items with occurring windows, and the longest verbatim
+    match (words, first word in the document, item).  See the module's docstring for edge cases."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for first, last, shared in _blocks(benchmark, window):
+        out = out.mapInArrow(_scan(shared, first, last), OUT if last else CARRY)
     return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any hit word, with their own columns.  Rows whose doc_id repeats stay or go together."""
-    bad = find_contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows, with their columns, whose text has no hit word; one pass over the texts for each block of the benchmark."""
+
+    def keep(windows):
+        def run(batches):
+            index: Windows = windows.value
+            for batch in chunked(batches, limit=SHARD_BYTES):
+                words, doc = _words(text_column(batch, "text"))
+                ids = np.zeros(len(words) + batch.num_rows, np.int64)
+                ids[np.arange(len(words)) + doc] = index.ids(words)
+                position, _ = index.search(ids)
+                slots = np.bincount(doc, minlength=batch.num_rows) + 1
+                good = np.ones(batch.num_rows, bool)
+                good[np.repeat(np.arange(batch.num_rows), slots)[position]] = False
+                yield batch.filter(pa.array(good))
+
+        return run
+
+    for _, _, shared in _blocks(benchmark, window):
+        docs = docs.mapInArrow(keep(shared), docs.schema)
+    return docs

@@ -68,19 +68,19 @@ _LUHN = f"aggregate(transform(split(reverse({_DIGITS}), ''), (c, i) -> CAST(c AS
 
 
 def _matches(docs: DataFrame) -> DataFrame:
-    """doc_id, _t and the arrays base (with `ok`) and loose."""
+    """doc_id, _row (all columns), _t and the arrays base (with `ok`) and loose."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\1")).otherwise(text).alias("_t"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\1")).otherwise(text).alias("_t"))
     digit, at = F.col("_digit"), F.contains("_t", F.lit("@"))
-    out = out.select("doc_id", "_t", F.col("_t").rlike("[0-9]").alias("_digit"))
+    out = out.select("doc_id", "_row", "_t", F.col("_t").rlike("[0-9]").alias("_digit"))
     spelt = F.contains("_t", F.lit(" dot ")) | F.contains("_t", F.lit("dot]")) | F.contains("_t", F.lit("dot)")) | F.contains("_t", F.lit("dot}"))
     pieces = {"p0": (EMAIL, at), "p1": (IP, digit), "p2": (CARD, digit), "p3": (PHONE, digit & F.contains("_t", F.lit("+"))), "q0": (LOOSE_EMAIL, spelt), "q1": (LOOSE_IP, digit & F.contains("_t", F.lit(":"))), "q3": (LOOSE_PHONE, digit)}
-    out = out.select("doc_id", "_t", *(_pieces(*p).alias(n) for n, p in pieces.items()))
-    out = out.select("doc_id", "_t", *pieces, *(F.expr(f"transform({n}, x -> length(x))").alias(f"{n}_n") for n in pieces))
+    out = out.select("doc_id", "_row", "_t", *(_pieces(*p).alias(n) for n, p in pieces.items()))
+    out = out.select("doc_id", "_row", "_t", *pieces, *(F.expr(f"transform({n}, x -> length(x))").alias(f"{n}_n") for n in pieces))
     checks = {"p0": "true", "p1": f"x.m RLIKE '{VALID_IP}'".replace("\\", "\\\\"), "p2": _LUHN, "p3": f"length({_DIGITS}) BETWEEN 10 AND 15"}
     base = F.concat(*(_spans(n, k, checks[n]) for k, n in enumerate(("p0", "p1", "p2", "p3"))))
     loose = F.concat(*(_spans(n, k, "false") for n, k in (("q0", 0), ("q1", 1), ("q3", 3))))
-    return out.select("doc_id", "_t", base.alias("base"), loose.alias("loose"))
+    return out.select("doc_id", "_row", "_t", base.alias("base"), loose.alias("loose"))
 
 
 def _edge(char: str) -> str:
@@ -169,17 +169,17 @@ def _learn(found: DataFrame) -> Trees:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _t (the text), base and spans: arrays of (start, kind, end), sorted; ends are exclusive."""
+    """doc_id, _row (all columns), _t (the text), base and spans: arrays of (start, kind, end), sorted; ends are exclusive."""
     found = _matches(docs)
     trees = _learn(found)
     fields = ", ".join(f"'{n}', {sql}" for n, sql in _vector("x").items())
     low = "array(" + ", ".join(f"{t:.9f}D" for t in trees.thresholds) + ")"
     likely = f"transform(array(named_struct({fields})), v -> {trees.probability()})[0] >= {low}[x.kind]"
     plain = "transform({}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    out = found.select("doc_id", "_t", F.expr(f"array_sort({plain.format('filter(base, x -> x.ok)')})").alias("base"), F.expr("concat(filter(base, x -> NOT x.ok), loose)").alias("_rest"))
+    out = found.select("doc_id", "_row", "_t", F.expr(f"array_sort({plain.format('filter(base, x -> x.ok)')})").alias("base"), F.expr("concat(filter(base, x -> NOT x.ok), loose)").alias("_rest"))
     more = F.expr(f"CASE WHEN size(_rest) > 0 THEN {plain.format(f'filter(_rest, x -> {likely} AND NOT exists(base, b -> b.start < x.end AND x.start < b.end))')} ELSE CAST(array() AS {_PLAIN}) END")
-    out = out.select("doc_id", "_t", "base", more.alias("_more"))
-    return out.select("doc_id", "_t", "base", F.expr("CASE WHEN size(_more) > 0 THEN array_sort(array_distinct(concat(base, _more))) ELSE base END").alias("spans"))
+    out = out.select("doc_id", "_row", "_t", "base", more.alias("_more"))
+    return out.select("doc_id", "_row", "_t", "base", F.expr("CASE WHEN size(_more) > 0 THEN array_sort(array_distinct(concat(base, _more))) ELSE base END").alias("spans"))
 
 
 def _listed(column: str) -> Column:
@@ -194,11 +194,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """doc_id, text: the text with each stretch of spans replaced by its first kind in brackets; a null text stays null, one without spans unchanged."""
+    """The rows with their columns; each stretch of spans in text is replaced by its first kind in brackets, and n_chars,
+    where there is one, follows.  A null text stays null, one without spans unchanged."""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     # Overlapping spans are one stretch: those that start before the last end only move that end.
-    text = F.expr(f"""CASE WHEN size(spans) = 0 THEN _t ELSE aggregate(spans, named_struct('out', '', 'at', 0),
+    text = F.expr(f"""CASE WHEN size(spans) = 0 THEN _row.text ELSE aggregate(spans, named_struct('out', '', 'at', 0),
         (a, x) -> CASE WHEN x.start >= a.at THEN named_struct('out', concat(a.out, substring(_t, a.at + 1, x.start - a.at), {names}[x.kind]), 'at', x.end)
                        ELSE named_struct('out', a.out, 'at', greatest(a.at, x.end)) END,
         a -> concat(a.out, substring(_t, a.at + 1))) END""")
-    return find_spans(docs).select("doc_id", text.alias("text"))
+    out = find_spans(docs).select("_row", text.alias("_new"))
+    changed = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return out.select(*(changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns))
