@@ -11,6 +11,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.substrings import removed_words
+
+    return removed_words(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL2 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, k, md5(array_to_string(w[k : k + 34], ' ')) AS h FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS k FROM d WHERE len(w) >= 35)),
+again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(k, k + 34)) AS p FROM again),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS s FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.bpe import encode_digest
 
@@ -59,10 +77,11 @@ def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_pii_boosted": op8_pii_boosted,
 }
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": SQL6}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": SQL2, "op6_benchmark_decontamination": SQL6}
