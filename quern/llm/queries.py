@@ -76,6 +76,12 @@ def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language import identify
+
+    return identify(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op10_html_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.html import extract
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_pii_boosted": op8_pii_boosted,
+    "op9_language_crf": op9_language_crf,
     "op10_html_template_extraction": op10_html_template_extraction,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": SQL2, "op6_benchmark_decontamination": SQL6}
