@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.media import media_digest
+
+    return media_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.substrings import removed_words
 
@@ -89,6 +95,7 @@ def op10_html_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_classifier": op4_quality_classifier,
