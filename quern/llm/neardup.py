@@ -34,8 +34,10 @@ from quern.llm.common import chunked, hash_spans, join_hash, mix, run_hash, text
 from quern.llm.tables import written
 
 SHINGLE = 5
-REGISTERS, ROWS_PER_BAND = 80, 4
-BANDS = REGISTERS // ROWS_PER_BAND
+#: Registers of a text; the first BANDS * ROWS_PER_BAND of them make bands, all of them estimates.
+REGISTERS, BANDS, ROWS_PER_BAND = 160, 20, 4
+#: Partners of other components that a node is compared with in each round; the last takes all that are left.
+ROUNDS = (4, 32, None)
 #: Pairs that share one copy of a frequent node's text while links are verified.
 PAIRS_PER_COPY = 64
 #: Nodes of a bucket in one block of comparisons.
@@ -107,7 +109,7 @@ def registers(owner: np.ndarray, keys: np.ndarray, weight: np.ndarray, n: int, s
 
 def bands(values: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each band of registers and its number."""
-    rows = values.astype(np.uint64).reshape(len(values), -1, ROWS_PER_BAND)
+    rows = values[:, : BANDS * ROWS_PER_BAND].astype(np.uint64).reshape(len(values), BANDS, ROWS_PER_BAND)
     out = np.broadcast_to(np.arange(rows.shape[1], dtype=np.uint64) + np.uint64(1), rows.shape[:2]).copy()
     for k in range(ROWS_PER_BAND):
         out = join_hash(out, rows[:, :, k])
@@ -141,7 +143,7 @@ def _signatures(batches):
         halves = np.frombuffer(b"".join(digest), np.int64).reshape(n, 2)
         hashed = bands(values)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(ends)), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(list(hashed), pa.list_(pa.int64()))],
+            [batch.column(batch.schema.get_field_index("doc_id")), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(ends)), pa.array([v.astype(np.uint16).tobytes() for v in values], pa.binary()), pa.array(list(hashed), pa.list_(pa.int64()))],
             ["doc_id", "k1", "k2", "n_words", "registers", "bands"],
         )
 
@@ -186,20 +188,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross(threshold: float):
-    """Of each block of a bucket: the pairs of different components that the registers do not exclude."""
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+def _cross(threshold: float, partners: int | None):
+    """Of each block of a bucket, for each node the likeliest partners in other components that the registers do not exclude."""
+    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def flush(rows):
         node, label, side = (np.array([r[k] for r in rows]) for k in range(3))
-        values = np.stack([np.frombuffer(r[3], np.uint32) for r in rows])
+        values = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
         found = []
         for k in range(len(rows)):
-            other = np.flatnonzero((label > label[k]) & ((side != side[k]) | (side == 2)))
+            other = np.flatnonzero((label != label[k]) & ((side != side[k]) | (side == 2)))
             if len(other):
                 same = (values[other] == values[k]).mean(axis=1)
-                found.append(np.stack([node[other[same >= least]], np.full((same >= least).sum(), node[k])], 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                likely = np.flatnonzero(same >= least)
+                if partners is not None:
+                    likely = likely[np.lexsort((node[other[likely]], -same[likely]))[:partners]]
+                mates = node[other[likely]]
+                found.append(np.stack([np.maximum(mates, node[k]), np.minimum(mates, node[k])], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def run(batches):
         rows, key = [], None
@@ -221,53 +227,55 @@ def _cross(threshold: float):
     return run
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes lie in different components."""
+    a, b = labels.select("node", F.col("label").alias("_a")), labels.select(F.col("node").alias("pivot"), F.col("label").alias("_b"))
+    return pairs.join(a, "node", "left").join(b, "pivot", "left").where(F.coalesce("_a", "node") != F.coalesce("_b", "pivot")).select("node", "pivot")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the lowest doc_id of its group, itself if alone), class_size (documents), n_links (links of its text's node)."""
+    """doc_id, class_id (the lowest doc_id of its group, itself if alone), n_links (verified links of its text's node)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(texts.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n_words long, registers binary, bands array<long>"), "signatures")
     some = every.where("n_words > 0 AND doc_id IS NOT NULL")
     nodes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bh"))
-    pivots = banded.groupBy("bh").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"), F.count("*").alias("n")).where("pivot <> _last")
-    met = banded.join(pivots.select("bh", "pivot"), "bh").where("node <> pivot")
-    pairs = written(met.groupBy("node", "pivot").agg(F.count("*").alias("shared")), "pairs")
+    pivots = banded.groupBy("bh").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"), F.count("*").alias("n")).where("pivot <> _last").drop("_last")
+    #: Only bands that several nodes share are of use from here on.
+    met = written(banded.join(pivots, "bh"), "met")
+    pairs = written(met.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared")), "pairs")
+    texts = written(texts.join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
 
     best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     links = written(verify(best, texts, threshold), "links")
     labels = components(links)
-
-    def apart(frame: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs whose nodes lie in different components."""
-        a, b = found.select(F.col("node"), F.col("label").alias("_a")), found.select(F.col("node").alias("pivot"), F.col("label").alias("_b"))
-        return frame.join(a, "node", "left").join(b, "pivot", "left").where(F.coalesce("_a", "node") != F.coalesce("_b", "pivot"))
-
-    rest = apart(pairs, labels).select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
+    rest = _apart(pairs, labels).join(best, ["node", "pivot"], "left_anti")
     links = written(links.unionByName(verify(rest, texts, threshold)), "links")
     labels = components(links)
 
-    # Buckets of three nodes and more that still hold several components.
-    placed = banded.join(labels, "node", "left").select("bh", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("bh").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("n")).where("n > 2 AND _lo <> _hi")
-    blocks = placed.join(mixed.select("bh", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "bh").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bh", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "label", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
-    dealt = dealt.join(nodes.select("node", "registers"), "node").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
-    cross = written(dealt.mapInArrow(_cross(threshold), "node long, pivot long").distinct(), "cross")
-    untried = cross.join(pairs.select("node", "pivot"), ["node", "pivot"], "left_anti").join(pairs.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["node", "pivot"], "left_anti")
-    # First each node's pair with one other component, then what is still apart.
-    one = untried.groupBy("node").agg(F.min("pivot").alias("pivot"))
-    links = written(links.unionByName(verify(one, texts, threshold)), "links")
-    labels = components(links)
-    left = apart(untried, labels).select("node", "pivot").join(one, ["node", "pivot"], "left_anti")
-    links = written(links.unionByName(verify(left, texts, threshold)), "links")
-    labels = components(links)
+    # Buckets of three nodes and more that still hold several components: compared in blocks.
+    tried = pairs.select("node", "pivot")
+    for partners in ROUNDS:
+        placed = met.where("n > 2").join(labels, "node", "left").select("bh", "node", "n", F.coalesce("label", "node").alias("label"))
+        mixed = placed.groupBy("bh").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bh", F.lit(True).alias("_mixed"))
+        blocks = placed.join(mixed, "bh").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bh", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "label", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
+        dealt = dealt.join(nodes.select("node", "registers"), "node").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
+        cross = dealt.mapInArrow(_cross(threshold, partners), "node long, pivot long").distinct()
+        cross = written(cross.join(tried, ["node", "pivot"], "left_anti"), "cross")
+        if cross.isEmpty():
+            if partners is None:
+                break
+            continue
+        links = written(links.unionByName(verify(cross, texts, threshold)), "links")
+        labels = components(links)
+        tried = tried.unionByName(cross)
 
     degree = links.select("node").unionByName(links.select(F.col("pivot").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     known = nodes.select("k1", "k2", "node").join(labels, "node", "left").join(degree, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = some.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
     alone = every.where("n_words = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    out = written(out.unionByName(alone), "classes")
-    sizes = out.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_links")
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

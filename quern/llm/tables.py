@@ -22,4 +22,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files go when the driver's garbage is collected: what this table needed is no longer needed.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
