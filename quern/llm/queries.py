@@ -47,6 +47,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.recurrent import score
+
+    return score(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontam import find_contamination
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_recurrent_lm": op5_recurrent_lm,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
     "op8_pii_boosted": op8_pii_boosted,
