@@ -38,9 +38,14 @@ def without_repeated_lines(df: DataFrame, key: str, text: str, least: int = 8) -
     return df.select(key, lines.alias("_lines")).select(key, F.array_join(kept, "\n").alias(text), (F.size("_lines") - F.size(kept)).alias("dropped"))
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds of a timestamp with or without a zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def attempts(df: DataFrame, key: str, ts: str, spans: dict[str, int]) -> DataFrame:
     """Attempts of a key within each span of seconds up to each event, and seconds since the one before: the attempt-rate twin of the limiter."""
-    at = F.unix_micros(F.col(ts))
+    at = _micros(F.col(ts))
     w = Window.partitionBy(key).orderBy("_us")
     out = df.withColumn("_us", at)
     for name, seconds in spans.items():
@@ -51,7 +56,7 @@ def attempts(df: DataFrame, key: str, ts: str, spans: dict[str, int]) -> DataFra
 def gaps(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """Whole seconds since a key's event before."""
     w = Window.partitionBy(key).orderBy(ts, tie)
-    return df.withColumn("gap_s", ((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1_000_000).cast("long"))
+    return df.withColumn("gap_s", ((_micros(F.col(ts)) - _micros(F.lag(ts).over(w))) / 1_000_000).cast("long"))
 
 
 def order_breaks(df: DataFrame, key: str, at: str, value: str) -> DataFrame:

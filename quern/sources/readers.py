@@ -13,10 +13,15 @@ def json_lines(spark: SparkSession, paths: str | list[str], kind: StructType = s
     return spark.read.schema(kind).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths)
 
 
+def _listed(raw: Column) -> Column:
+    """Whether JSON text is an array: from_json would read an object as an array of one."""
+    return F.ltrim(raw).startswith("[")
+
+
 def json_documents(spark: SparkSession, path: str, kind: StructType = schema.DOCUMENT, wrapper: str = "documents") -> DataFrame:
     """A JSON array, or an object that holds one under `wrapper`."""
     raw = spark.read.text(path, wholetext=True)
-    rows = F.coalesce(F.from_json("value", f"array<{kind.simpleString()}>"), F.from_json("value", f"struct<{wrapper}:array<{kind.simpleString()}>>")[wrapper])
+    rows = F.when(_listed(F.col("value")), F.from_json("value", f"array<{kind.simpleString()}>")).otherwise(F.from_json("value", f"struct<{wrapper}:array<{kind.simpleString()}>>")[wrapper])
     return raw.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -74,7 +79,7 @@ def delimited(lines: DataFrame, at: str, mark: str = "@") -> DataFrame:
 def playlists(raw: Column) -> Column:
     """An array, or an object with playlists or items; else lines of title@cover@id,id; HTML gives none."""
     kind = "array<struct<title:string,cover:string,ids:array<string>>>"
-    parsed = F.coalesce(F.from_json(raw, kind), F.from_json(raw, f"struct<playlists:{kind}>")["playlists"], F.from_json(raw, f"struct<items:{kind}>")["items"])
+    parsed = F.coalesce(F.when(_listed(raw), F.from_json(raw, kind)), F.from_json(raw, f"struct<playlists:{kind}>")["playlists"], F.from_json(raw, f"struct<items:{kind}>")["items"])
     lines = F.transform(F.filter(F.split(raw, "\n"), lambda x: x.contains("@")), lambda x: F.struct(F.get(F.split(x, "@"), F.lit(0)).alias("title"), F.get(F.split(x, "@"), F.lit(1)).alias("cover"), F.split(F.coalesce(F.get(F.split(x, "@"), F.lit(2)), F.lit("")), ",").alias("ids")))
     return F.when(F.ltrim(raw).startswith("<"), F.array().cast(kind)).otherwise(F.coalesce(parsed, lines))
 
@@ -166,7 +171,7 @@ def archive_members(files: DataFrame, suffixes: tuple[str, ...] = (".ttf", ".otf
 def timetable(raw: Column) -> Column:
     """Programmes of several nestings: a list, {programs}, {schedule}, {data: {list}}; a single one as a list."""
     kind = "array<struct<time:string,title:string>>"
-    shapes = [F.from_json(raw, kind)] + [F.from_json(raw, f"struct<{k}:{kind}>")[k] for k in ("programs", "schedule")] + [F.from_json(raw, f"struct<data:struct<list:{kind}>>")["data"]["list"]]
+    shapes = [F.when(_listed(raw), F.from_json(raw, kind))] + [F.from_json(raw, f"struct<{k}:{kind}>")[k] for k in ("programs", "schedule")] + [F.from_json(raw, f"struct<data:struct<list:{kind}>>")["data"]["list"]]
     single = F.from_json(raw, "struct<time:string,title:string>")
     return F.coalesce(*shapes, F.when(single["time"].isNotNull(), F.array(single)), F.array().cast(kind))
 

@@ -39,17 +39,17 @@ def _fold(accepted: list[int], rows: pd.DataFrame, user: int) -> tuple[list[int]
 
 def replay(events: DataFrame) -> DataFrame:
     """The exact limiter over a batch: only accepted events count, so a window function can't say it.  State per user is at most 20 times."""
-    timed = events.select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    timed = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         return pd.DataFrame(_fold([], pdf, key[0])[1], columns=["user_id", "event_id", "accepted", "retry_after"])
 
     return timed.groupBy("user_id").applyInPandas(run, OUT)
 
 
 def limiter(stream: DataFrame) -> DataFrame:
-    """The same fold over a stream, with keyed state that expires a day after the last event."""
-    timed = stream.select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    """The same fold over a stream, with keyed state that expires, by event time, a day after a user's last event."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").select("user_id", "event_id", "ts", F.unix_millis("ts").alias("ms"))
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,15 +59,15 @@ def limiter(stream: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames))
         accepted, out = _fold(accepted, rows, key[0])
         state.update((accepted,))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + 86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "accepted", "retry_after"])
 
-    return timed.groupBy("user_id").applyInPandasWithState(run, OUT, "accepted array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy("user_id").applyInPandasWithState(run, OUT, "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def idempotent(stream: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def accepted_once(df: DataFrame, key: str, at: str, payload: str) -> DataFrame:
@@ -86,4 +86,4 @@ def overlay_sink(published: DataFrame, key: str, write):
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, size: str, delay: str) -> DataFrame:
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, size), key).agg(F.count("*").alias("n"))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, size), key).agg(F.count("*").alias("n"))
