@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -126,8 +127,6 @@ def robots_rules(lines: DataFrame, host: str, at: str) -> DataFrame:
 
 def decoded(files: DataFrame) -> DataFrame:
     """Text of binary files: byte-order marks, UTF-16 by its zero bytes, a declared charset, else UTF-8."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(data: pd.Series) -> pd.Series:
         import re
@@ -159,8 +158,6 @@ def archive_members(files: DataFrame, suffixes: tuple[str, ...] = (".ttf", ".otf
         import io
         import zipfile
 
-        import pandas as pd
-
         for b in batches:
             rows = [(p, i.filename, i.file_size) for p, c in zip(b["path"], b["content"], strict=True) for i in zipfile.ZipFile(io.BytesIO(c)).infolist() if i.filename.lower().endswith(suffixes)]
             yield pd.DataFrame(rows, columns=["path", "member", "size"])
