@@ -37,11 +37,13 @@ SHINGLE = 5
 #: Registers of a text; the first BANDS * ROWS_PER_BAND of them make bands, all of them estimates.
 REGISTERS, BANDS, ROWS_PER_BAND = 160, 20, 4
 #: Partners of other components that a node is compared with in each round; the last takes all that are left.
-ROUNDS = (4, 32, None)
+ROUNDS = (8, None)
 #: Pairs that share one copy of a frequent node's text while links are verified.
 PAIRS_PER_COPY = 64
+#: Links that one task unites: 16 bytes each; more go the distributed way.
+LOCAL_LINKS = 1 << 20
 #: Nodes of a bucket in one block of comparisons.
-BLOCK = 200
+BLOCK = 1000
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -174,8 +176,28 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_links(threshold), "node long, pivot long").distinct()
 
 
+def _united(batches):
+    """Union-find over one task's links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the lowest node of each linked node's component.  Labels of neighbours spread and are followed to their own labels until nothing changes."""
+    """(node, label): the lowest node of each linked node's component.  Up to LOCAL_LINKS links are united by one task;
+    beyond, labels of neighbours spread and are followed to their own labels until nothing changes, over any number of tasks."""
+    if links.count() <= LOCAL_LINKS:
+        return written(links.select("node", "pivot").coalesce(1).mapInArrow(_united, "node long, label long"), "labels")
     edges = written(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
@@ -244,7 +266,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     #: Only bands that several nodes share are of use from here on.
     met = written(banded.join(pivots, "bh"), "met")
     pairs = written(met.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared")), "pairs")
-    texts = written(texts.join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
+    # Joined by a shuffle at every size: the candidates have no bound that would let them be broadcast.
+    texts = written(texts.join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id"), "texts")
 
     best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     links = written(verify(best, texts, threshold), "links")
