@@ -57,7 +57,7 @@ def text_split_alias(spark, sf_dir):
 @query("text_dateline_strip", f"WITH {DOCS} SELECT id, trim(regexp_replace(left(title, 50), '[ \\t\\n\\r\\f\\x{{000B}}\\x{{00A0}}]+', ' ', 'g')) || ' tail' AS plain FROM docs WHERE trim(regexp_replace(left(title, 50), '[ \\t\\n\\r\\f]+', ' ', 'g')) <> ''")
 def text_dateline_strip(spark, sf_dir):
     kept = docs(spark, sf_dir).where(T.squeezed(F.left("title", F.lit(50))) != "")
-    return kept.select("id", T.without_dateline(F.concat(F.left("title", F.lit(50)), F.lit(" (Pyongyang January 5 KCNA) tail"))).alias("plain"))
+    return kept.select("id", T.without_dateline(F.concat(F.left("title", F.lit(50)), F.lit(" (Geneva January 5 Wire) tail"))).alias("plain"))
 
 
 @query("text_markdown_clean", "SELECT doc_id AS id, 'Head ' || lang || ' text bold' AS plain FROM documents")
@@ -178,7 +178,7 @@ def date_literal_bounds(spark, sf_dir):
 
 @query("date_dateline_year", "SELECT doc_id AS id, CASE WHEN doc_id % 12 + 1 <= 6 THEN '2024-' ELSE '2023-' END || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-05' AS day FROM documents")
 def date_dateline_year(spark, sf_dir):
-    text = F.concat(F.lit("(평양 "), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("월 5일발)"))
+    text = F.concat(F.lit("(서울 "), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("월 5일발)"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), dates.dateline_day(text, F.lit("2024-06-15").cast("date")).cast("string").alias("day"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from hypothesis import given, strategies as st
 
-from quern.plans import entities
+from quern.plans import entities, hangul
 from quern.plans.language import Filters, Term, completion_context, completions, date_bounds, date_range, expand, prepare, resolve_source, validate_news_query
 
 SOURCES = [{"id": "s1", "name": "First Source", "host": "a.example.org"}, {"id": "s2", "name": "Second", "host": "b.example.kp"}]
@@ -78,3 +78,9 @@ def test_news_query():
 def test_any_text_gives_a_plan(text):
     p = plan(text)
     assert all(t.usable for b in p.branches for t in b.terms)
+
+
+def test_typed_hangul():
+    assert hangul.typed("gksrmf") == "한글" and hangul.typed("dkssudgktpdy") == "안녕하세요" and hangul.typed("ekfr") == "닭" and hangul.typed("ekfrdl") == "닭이" and hangul.typed("dhk") == "와"
+    assert hangul.conversion("gksrmf") == "한글" and hangul.conversion("search") == "" and hangul.conversion("한글 abc") == ""
+    assert [t.value for t in plan("gksrmf").branches[0].terms] == ["gksrmf", "한글"]
