@@ -265,7 +265,7 @@ def _counted(buckets: int):
         order = np.argsort(bucket, kind="stable")
         found, times, form, bucket = found[order], times[order], forms[first][order].astype(np.uint8), bucket[order]
         names, at = np.unique(bucket, return_index=True)
-        ends = np.append(at[1:], len(bucket))
+        ends = np.append(at, len(bucket))[1:]
         return pa.table({"bucket": pa.array(names.astype(np.int32)), "chunk": pa.array(np.full(len(names), key[0].as_py())), **{n: pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for n, x in (("hashes", found), ("times", times), ("forms", form))}})
 
     return run

@@ -92,7 +92,7 @@ def _send(chunk: int, hashes: np.ndarray, buckets: int) -> pa.Table:
     order = np.argsort(bucket, kind="stable")
     found, times, bucket = found[order], times[order], bucket[order]
     names, at = np.unique(bucket, return_index=True)
-    ends = np.append(at[1:], len(bucket))
+    ends = np.append(at, len(bucket))[1:]
     once = [found[a:b][times[a:b] == 1].tobytes() for a, b in zip(at, ends, strict=True)]
     more = [found[a:b][times[a:b] > 1].tobytes() for a, b in zip(at, ends, strict=True)]
     return pa.table([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), chunk)), pa.array(once, pa.binary()), pa.array(more, pa.binary())], schema=_BLOB)
@@ -125,7 +125,7 @@ def _resolve(width: int):
         order = np.argsort(owner, kind="stable")
         hashes, owner = hashes[order], owner[order]
         names, at = np.unique(owner, return_index=True)
-        return pa.table([pa.array(names, pa.int64()), pa.array([hashes[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(owner)), strict=True)], pa.binary())], schema=_VERDICT)
+        return pa.table([pa.array(names, pa.int64()), pa.array([hashes[a:b].tobytes() for a, b in zip(at, np.append(at, len(owner))[1:], strict=True)], pa.binary())], schema=_VERDICT)
 
     return run
 
