@@ -67,7 +67,8 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Network:
     """Weights; words 0 .. size-1 are the vocabulary (0: the end), classes of CLASS words, then forms."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray | None = None, forms: np.ndarray | None = None):
+        """counts: of the vocabulary's words, forms: tokens of each form; with them the output starts as the corpus's frequencies."""
         self.size = len(hashes)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
@@ -80,6 +81,10 @@ class Network:
             "x": (rng.normal(size=(k + FORMS, 3 * h)) * 0.1).astype(np.float32), "u": (rng.normal(size=(h, 3 * h)) * h**-0.5).astype(np.float32),
             "c": np.zeros((h, self.groups + FORMS), np.float32), "cb": np.zeros(self.groups + FORMS, np.float32), "v": np.zeros((k, h), np.float32), "vb": np.zeros(k, np.float32),
         }
+        if counts is not None:
+            self.w["vb"][:] = np.log(counts + 0.5)
+            mass = np.concatenate([np.bincount(np.arange(k) // CLASS, counts, minlength=self.groups), forms])
+            self.w["cb"][:] = np.log((mass + 0.5) / (mass + 0.5).sum())
 
     def ids(self, hashes: np.ndarray, forms: np.ndarray) -> np.ndarray:
         out = self.size + forms
@@ -380,10 +385,11 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     top = [tuple(r) for r in told.where("top IS NOT NULL").select(F.explode("top").alias("t")).select("t.hash", "t.count", "t.form").orderBy(F.desc("count"), "hash").limit(VOCABULARY).collect()]
     end = int(END.astype(np.int64)) if END < np.uint64(1 << 63) else int(END) - (1 << 64)
     inner = [t for t in top if t[0] != end]
-    network = Network(np.array([end, *(t[0] for t in inner)], np.int64).view(np.uint64))
-    for h, c, f in top:
+    for _, c, f in top:
         n_form[f] -= c
         v_form[f] -= 1
+    ends = sum(c for h, c, _ in top if h == end)
+    network = Network(np.array([end, *(t[0] for t in inner)], np.int64).view(np.uint64), np.array([ends, *(t[1] for t in inner)], np.float64), np.maximum(n_form, 0))
     spread = np.maximum(n_form, 0) + 0.5 * (np.maximum(v_form, 0) + 1)
     windows = written(docs.where("NOT held_out").mapInArrow(_windows(spark.sparkContext.broadcast(network)), "windows binary"), "windows")
     seed = [r[0] for r in windows.orderBy(F.xxhash64("windows")).limit(SEED_ROWS).collect()]
