@@ -276,27 +276,31 @@ def _counted(buckets: int):
     return run
 
 
-def _totals(table):
-    """For each chunk its words' corpus counts; and one row (chunk -1) with the bucket's most frequent words and its forms' tokens and words."""
-    chunks = table.column("chunk").to_numpy()
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    hashes, times = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in table.column("times").to_pylist()])
-    forms = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("forms").to_pylist()])
-    found, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    number = number.ravel()
-    total = np.bincount(number, times, minlength=len(found)).astype(np.int64)
-    known, form = total > 0, forms[first]
-    sums = [np.bincount(form[known], total[known], minlength=FORMS).astype(np.int64).tolist(), np.bincount(form[known], minlength=FORMS).tolist()]
-    top = np.lexsort((found, -total))[: VOCABULARY]
-    top = top[total[top] > 0]
-    ends = np.cumsum([len(p) for p in parts])
-    reply = [total[number[b - len(p) : b]].tobytes() for b, p in zip(ends, parts, strict=True)]
-    n = len(chunks)
-    return pa.table({
-        "chunk": pa.array(np.append(chunks, -1)), "hashes": pa.array([*(p.tobytes() for p in parts), b""], pa.binary()), "counts": pa.array([*reply, b""], pa.binary()),
-        "top": pa.array([None] * n + [[{"hash": int(a), "count": int(b), "form": int(f)} for a, b, f in zip(found[top].view(np.int64), total[top], form[top], strict=True)]], pa.list_(pa.struct([("hash", pa.int64()), ("count", pa.int64()), ("form", pa.int32())]))),
-        "sums": pa.array([None] * n + [sums], pa.list_(pa.list_(pa.int64()))),
-    })
+def _totals(share: int):
+    """For each chunk its words' corpus counts; and one row (chunk -1) with the bucket's `share` most frequent words and its forms' tokens and words."""
+
+    def run(table):
+        chunks = table.column("chunk").to_numpy()
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        hashes, times = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in table.column("times").to_pylist()])
+        forms = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("forms").to_pylist()])
+        found, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        number = number.ravel()
+        total = np.bincount(number, times, minlength=len(found)).astype(np.int64)
+        known, form = total > 0, forms[first]
+        sums = [np.bincount(form[known], total[known], minlength=FORMS).astype(np.int64).tolist(), np.bincount(form[known], minlength=FORMS).tolist()]
+        top = np.lexsort((found, -total))[:share]
+        top = top[total[top] > 0]
+        ends = np.cumsum([len(p) for p in parts])
+        reply = [total[number[b - len(p) : b]].tobytes() for b, p in zip(ends, parts, strict=True)]
+        n = len(chunks)
+        return pa.table({
+            "chunk": pa.array(np.append(chunks, -1)), "hashes": pa.array([*(p.tobytes() for p in parts), b""], pa.binary()), "counts": pa.array([*reply, b""], pa.binary()),
+            "top": pa.array([None] * n + [[{"hash": int(a), "count": int(b), "form": int(f)} for a, b, f in zip(found[top].view(np.int64), total[top], form[top], strict=True)]], pa.list_(pa.struct([("hash", pa.int64()), ("count", pa.int64()), ("form", pa.int32())]))),
+            "sums": pa.array([None] * n + [sums], pa.list_(pa.list_(pa.int64()))),
+        })
+
+    return run
 
 
 def _windows(shared):
@@ -374,10 +378,12 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(docs)
     chunks, buckets = max(parts, size // CHUNK_TEXT), max(parts, size // BUCKET_TEXT)
+    # Hashes deal words evenly, so a bucket has about VOCABULARY / buckets of the most frequent; it may name four times as many and 32.
+    share = min(VOCABULARY, 4 * VOCABULARY // buckets + 32)
     docs = docs.withColumn("held_out", _held(folds, held_out))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     sent = dealt.groupBy("chunk").applyInArrow(_counted(buckets), "bucket int, chunk long, hashes binary, times binary, forms binary")
-    told = written(sent.groupBy("bucket").applyInArrow(_totals, "chunk long, hashes binary, counts binary, top array<struct<hash:long,count:long,form:int>>, sums array<array<long>>"), "counts")
+    told = written(sent.groupBy("bucket").applyInArrow(_totals(share), "chunk long, hashes binary, counts binary, top array<struct<hash:long,count:long,form:int>>, sums array<array<long>>"), "counts")
     sums = told.where("sums IS NOT NULL").select(F.posexplode("sums").alias("kind", "s")).select("kind", F.posexplode("s").alias("form", "n")).groupBy("kind", "form").agg(F.sum("n").alias("n")).collect()
     by = {(r["kind"], r["form"]): r["n"] for r in sums}
     n_form, v_form = (np.array([by.get((k, f), 0) for f in range(FORMS)], np.float64) for k in (0, 1))
