@@ -37,7 +37,7 @@ SHINGLE = 5
 #: Registers of a text; the first BANDS * ROWS_PER_BAND of them make bands, all of them estimates.
 REGISTERS, BANDS, ROWS_PER_BAND = 160, 20, 4
 #: Partners of other components that a node is compared with in each round; the last takes all that are left.
-ROUNDS = (8, None)
+ROUNDS = (2, 8, None)
 #: Pairs that share one copy of a frequent node's text while links are verified.
 PAIRS_PER_COPY = 64
 #: Links that one task unites: 16 bytes each; more go the distributed way.
