@@ -7,7 +7,7 @@ of the host's pages, and two at least) is valid.  Vectors are compared by an ord
 corpus is only counted per (host, token), with partial sums before the shuffle: a host may hold any
 share of the pages.  The valid classes, nested by their tags' paths, are the host's template: blocks
 that are template tokens are furniture, and what lies between template tokens are slots.  Slots under
-elements of a boilerplate role (menus, adverts, forms, comments ...) are left out; of the rest, those in
+elements of a boilerplate role (menus, adverts, forms, comments ...) are left out as well; of the rest, those in
 article or main elements are the text, or, in pages without such elements, those that are not mostly links.
 
 Defined results: a null, empty or text-less page has the empty text; a page without URL belongs to the
@@ -147,9 +147,9 @@ def _tokens(batches):
 def main_text(page: str, template: frozenset[int]) -> str:
     """The text of the page's slots."""
     _, found = blocks(page)
-    if any(main for _, _, _, main, _ in found):
-        return " ".join(text for text, _, bad, main, _ in found if main and not bad)
-    return " ".join(text for text, path, bad, _, linked in found if not bad and linked <= 0.5 and _key(f"{path} {text}") not in template)
+    inside = any(main for _, _, _, main, _ in found)
+    slots = [(text, path) for text, path, bad, main, linked in found if not bad and (main if inside else linked <= 0.5)]
+    return " ".join(text for text, path in slots if _key(f"{path} {text}") not in template)
 
 
 def _extract(batches):

@@ -333,6 +333,13 @@ def test_html(spark):
     assert got[50].text == got[51].text == "" and got[52].text == "cut &am" and got[52].n_chars == 7 and len(got) == len(rows)
 
 
+def test_html_template_decides_in_articles(spark):
+    page = "<body><article><h1>Title {k}</h1><p>{k} own text of page {k}</p><div class='box'><p>Same words here</p><p>On every page</p><p>of this host</p></div></article></body>"
+    rows = [(k, "http://h.example.org/a", page.format(k=k)) for k in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k} {k} own text of page {k}" for k in range(6)}
+
+
 def test_empty_tables(spark, labels):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     for f in (media.media_digest, substrings.removed_words, bpe.encode_digest, recurrent.score, neardup.near_duplicates, pii.digest, language.identify):
