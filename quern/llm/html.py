@@ -1,16 +1,19 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 Tokens of a page are its start tags with their path and its text blocks with their path.  Over the
-pages of a host each token has an occurrence vector (how often it occurs in which page).  Tokens that
-share the vector form an equivalence class; a class that is large (several tokens) and frequent (half
-of the host's pages, and two at least) is valid.  Vectors are compared by an order-free hash, so the
-corpus is only counted per (host, token), with partial sums before the shuffle: a host may hold any
-share of the pages.  The valid classes, nested by their tags' paths, are the host's template: blocks
+pages of a host each token has an occurrence vector (how often it occurs in which page).  Pages whose
+own text (what tag roles leave) is the same are copies and count as one.  Tokens that share the vector
+form an equivalence class; a class that is large (several tokens) and frequent (half of the like pages,
+and two at least) is valid.  Like pages are the host's, or, where a class of `GROUP_PAGES` pages lies in
+one of them only, those of one first directory or of one layout of outer elements.  Vectors are compared
+by an order-free hash, so the corpus is only counted per (host, token), with partial sums before the
+shuffle: a host may hold any share of the pages.  Hashes of contents that repeat are broadcast.  The valid classes, nested by their tags' paths, are the host's template: blocks
 that are template tokens are furniture, and what lies between template tokens are slots.  Slots under
 elements of a boilerplate role (menus, adverts, forms, comments ...) are left out as well; of the rest, those in
 article or main elements are the text, or, in pages without such elements, those that are not mostly links.
 
-Defined results: a null, empty or text-less page has the empty text; a page without URL belongs to the
+Defined results: a null, empty or text-less page has the empty text; a page whose slots are all template
+tokens keeps them; a page without URL belongs to the
 host ''; broken and truncated markup is read as far as it goes; very long pages are read whole; rows keep
 their page_id, repeated or null; an empty table gives no rows; other columns are ignored.
 """
@@ -21,14 +24,18 @@ import html as entities
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import chunked
+from quern.llm.tables import written
 
 #: A class is valid from so many tokens and this share of a host's pages on.
 CLASS_TOKENS, CLASS_SHARE = 3, 0.5
+#: From so many distinct contents on a class is judged against a part of the host; depth of the elements that make a layout.
+GROUP_PAGES, LAYOUT_DEPTH = 3, 3
 
 # HTML's element kinds.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -129,27 +136,60 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool, float
     return tags, out
 
 
-def _tokens(batches):
+def _slots(found: list[tuple[str, str, bool, bool, float]]) -> list[tuple[str, str]]:
+    """Text and path of the blocks that tag roles leave."""
+    inside = any(main for _, _, _, main, _ in found)
+    return [(text, path) for text, path, bad, main, linked in found if not bad and (main if inside else linked <= 0.5)]
+
+
+def _content(found: list[tuple[str, str, bool, bool, float]]) -> int:
+    """One number for all copies of a page's own text, whatever menus and adverts stand around it."""
+    return _key("\0".join(text for text, _ in _slots(found)))
+
+
+def _layout(tags: list[str]) -> int:
+    """One number for pages with the same outer elements."""
+    return _key("\0".join(sorted({t for t in tags if t.count("/") <= LAYOUT_DEPTH})))
+
+
+def _groups(batches):
+    """Of each page its host, its groups of like pages and its content."""
     for batch in chunked(batches, "html"):
-        hosts, pages, keys, times = [], [], [], []
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "page_id", "html")]
-        for host, page, text in zip(*cols, strict=True):
-            tags, found = blocks(text or "")
-            counts = Counter(_key("<" + t) for t in tags)
-            counts.update(_key(f"{path} {block}") for block, path, *_ in found)
-            hosts += [host] * len(counts)
-            pages += [page] * len(counts)
-            keys += counts.keys()
-            times += counts.values()
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(keys, pa.int64()), pa.array(times, pa.int32())], ["host", "page_id", "token", "times"])
+        found = [blocks(text or "") for text in batch.column(batch.schema.get_field_index("html")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("host", "section")] + [pa.array([_layout(t) for t, _ in found], pa.int64()), pa.array([_content(f) for _, f in found], pa.int64())], ["host", "section", "layout", "content"])
+
+
+def _tokens(repeated):
+    """Tokens of each page; content: null where no other page of the table has it; mark: for the occurrence vector."""
+
+    def run(batches):
+        known = repeated.value
+        for batch in chunked(batches, "html"):
+            lists = [[] for _ in range(7)]
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "section", "html")]
+            for host, section, text in zip(*cols, strict=True):
+                tags, found = blocks(text or "")
+                counts = Counter(_key("<" + t) for t in tags)
+                counts.update(_key(f"{path} {block}") for block, path, *_ in found)
+                content = _content(found)
+                at = np.searchsorted(known, content)
+                again = content if at < len(known) and known[at] == content else None
+                for values, x in zip(lists, (host, section, _layout(tags), again, content), strict=False):
+                    values += [x] * len(counts)
+                lists[5] += counts.keys()
+                lists[6] += counts.values()
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], ["host", "section", "layout", "again", "content", "token", "times"])
+
+    return run
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
     """The text of the page's slots."""
-    _, found = blocks(page)
-    inside = any(main for _, _, _, main, _ in found)
-    slots = [(text, path) for text, path, bad, main, linked in found if not bad and (main if inside else linked <= 0.5)]
-    return " ".join(text for text, path in slots if _key(f"{path} {text}") not in template)
+    slots = _slots(blocks(page)[1])
+    own = [text for text, path in slots if _key(f"{path} {text}") not in template]
+    # A page is never all template.
+    return " ".join(own or [text for text, _ in slots])
 
 
 def _extract(batches):
@@ -167,12 +207,29 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, template: the tokens of the host's valid equivalence classes."""
-    hosted = _hosted(pages)
-    tokens = hosted.select("host", "page_id", "html").mapInArrow(_tokens, "host string, page_id long, token long, times int")
-    seen = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page_id", "times")).alias("vector")).where("pages > 1")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
-    valid = seen.groupBy("host", "pages", "vector").agg(F.count("*").alias("tokens"), F.collect_list("token").alias("members")).where(F.col("tokens") >= CLASS_TOKENS)
-    valid = valid.join(sizes, "host").where(F.col("pages") >= CLASS_SHARE * F.col("host_pages"))
+    section = F.xxhash64(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1))
+    hosted = _hosted(pages).select("host", section.alias("section"), "html")
+    groups = hosted.mapInArrow(_groups, "host string, section long, layout long, content long").groupBy("host", "section", "layout", "content").agg(F.count("*").alias("n"))
+    groups = written(groups, "contents")
+    repeated = groups.groupBy("host", "content").agg(F.sum("n").alias("n")).where("n > 1").select("content").distinct().toArrow().column(0).to_numpy()
+    repeated = pages.sparkSession.sparkContext.broadcast(np.sort(repeated))
+    tokens = hosted.mapInArrow(_tokens(repeated), "host string, section long, layout long, again long, content long, token long, times int")
+    # Copies of a content count once: first alone, then in their token's vector.
+    mark = F.xxhash64("content", "times")
+    least = lambda c: (F.min(c).alias(c), F.max(c).alias(f"{c}_to"))
+    once = tokens.groupBy("host", "token", "again").agg(F.count("*").alias("rows"), F.bit_xor(mark).alias("vector"), F.max(mark).alias("one"), *least("section"), *least("layout"))
+    alone = F.col("again").isNull()
+    widest = lambda c: (F.min(c).alias(c), F.max(f"{c}_to").alias(f"{c}_to"))
+    seen = once.groupBy("host", "token").agg(F.sum(F.when(alone, F.col("rows")).otherwise(1)).alias("pages"), F.bit_xor(F.when(alone, F.col("vector")).otherwise(F.col("one"))).alias("vector"), *widest("section"), *widest("layout")).where("pages > 1")
+    kinds = ["section", "section_to", "layout", "layout_to"]
+    valid = seen.groupBy("host", "pages", "vector", *kinds).agg(F.count("*").alias("tokens"), F.collect_list("token").alias("members")).where(F.col("tokens") >= CLASS_TOKENS)
+    # A class is judged against the smallest group of like pages that holds all of its pages.
+    valid = valid.join(groups.groupBy("host").agg(F.countDistinct("content").alias("like_host")), "host")
+    for c in ("section", "layout"):
+        like = groups.groupBy("host", c).agg(F.countDistinct("content").alias(f"like_{c}"))
+        valid = valid.withColumn("_in", F.when((F.col(c) == F.col(f"{c}_to")) & (F.col("pages") >= GROUP_PAGES), F.col(c)))
+        valid = valid.join(like.withColumnRenamed("host", "_host").withColumnRenamed(c, "_of"), (F.col("host") == F.col("_host")) & (F.col("_in") == F.col("_of")), "left").drop("_host", "_of", "_in")
+    valid = valid.where(F.col("pages") >= CLASS_SHARE * F.least("like_host", "like_section", "like_layout"))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
 
 

@@ -340,6 +340,16 @@ def test_html_template_decides_in_articles(spark):
     assert got == {k: f"Title {k} {k} own text of page {k}" for k in range(6)}
 
 
+def test_html_copies_and_sections(spark):
+    page = "<body><nav>{0}</nav><div><p>First {1}</p><p>Second {1}</p><p>Third {1}</p></div></body>"
+    rows = [(k, "http://copies.org/", page.format(k, "copied")) for k in range(2)] + [(7, "http://same.org/", page.format(k, k // 2)) for k in range(4)]
+    side = "<body><div><p>{0} side</p><p>{0} more</p><p>{0} end</p><p>own {1}</p></div></body>"
+    rows += [(100 + 4 * s + k, f"http://s.org/{d}/{k}", side.format(d, f"{s}-{k}")) for s, d in enumerate("abc") for k in range(4)]
+    got = sorted((r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    copies = [(k, "First copied Second copied Third copied") for k in range(2)] + [(7, f"First {k} Second {k} Third {k}") for k in (0, 0, 1, 1)]
+    assert got == copies + [(100 + 4 * s + k, f"own {s}-{k}") for s in range(3) for k in range(4)]
+
+
 def test_empty_tables(spark, labels):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     for f in (media.media_digest, substrings.removed_words, bpe.encode_digest, recurrent.score, neardup.near_duplicates, pii.digest, language.identify):
