@@ -9,8 +9,8 @@ their own, and the forms, within which a word's share follows its corpus count (
 and half for one unknown word of the form).
 
 The weights are fitted by truncated backpropagation in numpy (segments of `SEGMENT` tokens, the state
-carried over): first on a bounded seed of windows, then in one pass over a window of every training
-document, shard by shard, whose weights are averaged by tokens, in sums of sums.  A text's score is the
+carried over): first on a bounded seed of windows, then in one pass over all windows of every training
+document, shard by shard, whose weights are averaged by windows, in sums of sums.  A text's score is the
 log10 probability of all its tokens, the state carried from window to window from its first token to its end.
 
 Defined results: a null or empty text is one end; a corpus without training tokens has N = V = 0 and an
@@ -21,6 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import copy
+import heapq
 import math
 
 import numpy as np
@@ -35,7 +36,7 @@ VOCABULARY, FORMS, CLASS = 2048, 16, 48
 HIDDEN, SEGMENT, WINDOW = 32, 32, 64
 SEED_ROWS, ROW_WINDOWS, SEED_EPOCHS = 48, 64, 6
 RATE, REFINE_RATE = 0.01, 0.002
-CHUNK_TEXT, BUCKET_TEXT = 32 << 20, 512 << 20
+CHUNK_TEXT, BUCKET_TEXT, SHARD_WINDOWS = 32 << 20, 512 << 20, 32 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -149,16 +150,26 @@ class Network:
                 back[some] += d @ w["v"][lo:hi]
         return out, back
 
-    def learn(self, windows: np.ndarray, rate: float, epochs: int, lanes: int = 128) -> None:
-        """Adam steps on windows (n x WINDOW + 1 ids, -1 after the end), by segments with the state carried."""
+    def learn(self, windows: np.ndarray, fresh: np.ndarray, rate: float, epochs: int, lanes: int = 128) -> None:
+        """Adam steps on windows (n x WINDOW + 1 ids, -1 after the end), by segments with the state carried up to the next fresh window."""
         w = self.w
         first, second, steps = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
         rng = np.random.default_rng(11)
+        begins = np.flatnonzero(fresh)
+        sizes = np.diff(np.append(begins, len(windows)))
         for _ in range(epochs):
-            order = rng.permutation(len(windows))
-            for at in range(0, len(order), lanes):
-                batch = windows[order[at : at + lanes]]
-                h = np.zeros((len(batch), HIDDEN), np.float32)
+            # Each lane reads runs of windows one after another; the next run goes to the shortest lane.
+            heap, queues = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+            for run in rng.permutation(len(begins)):
+                size, k = heap[0]
+                queues[k].append(np.arange(begins[run], begins[run] + sizes[run]))
+                heapq.heapreplace(heap, (size + int(sizes[run]), k))
+            queues = sorted((np.concatenate(q) for q in queues if q), key=len, reverse=True)
+            h = np.zeros((len(queues), HIDDEN), np.float32)
+            for at in range(len(queues[0]) if queues else 0):
+                now = np.array([q[at] for q in queues if len(q) > at])
+                batch = windows[now].astype(np.int64)
+                h = np.where(fresh[now][:, None], np.float32(0), h[: len(now)])
                 for begin in range(0, WINDOW, SEGMENT):
                     part = batch[:, begin : begin + SEGMENT + 1]
                     if not (part[:, 1] >= 0).any():
@@ -190,6 +201,7 @@ class Network:
         outer = np.zeros_like(states)
         outer[live] = back
         d = np.zeros((n, HIDDEN), np.float32)
+        into = np.empty((size, n, 3 * HIDDEN), np.float32)
         for t in range(size - 1, -1, -1):
             ids, before, z, r, an, m = kept[t]
             d = d + outer[t]
@@ -198,8 +210,12 @@ class Network:
             dr = dm * an * r * (1 - r)
             da = np.concatenate([dz, dr, dm * r], 1)
             grad["u"] += before.T @ da
-            np.add.at(grad["x"], ids, np.concatenate([dz, dr, dm], 1))
+            into[t] = np.concatenate([dz, dr, dm], 1)
             d = d * z + da @ w["u"].T
+        used = np.concatenate([k[0] for k in kept])
+        order = np.argsort(used, kind="stable")
+        rows, edges = np.unique(used[order], return_index=True)
+        grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], edges)
         for g in grad.values():
             g /= count
         norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -304,27 +320,36 @@ def _totals(share: int):
 
 
 def _windows(shared):
-    """Of each training document one window of tokens, in rows of ROW_WINDOWS windows."""
+    """All training tokens in consecutive windows, document by document, in rows of ROW_WINDOWS windows at most."""
 
     def run(batches):
         network: Network = shared.value
         for batch in chunked(batches):
             hashes, forms, counts = tokens(text_column(batch, "text"))
-            ids = network.ids(hashes, forms)
-            first = np.cumsum(counts) - counts
-            spare = np.maximum(counts - WINDOW, 0)
-            begin = (hashes[first] % (spare + 1).astype(np.uint64)).astype(np.int64)
-            at = begin[:, None] - 1 + np.arange(WINDOW + 1)
-            out = np.where(at < counts[:, None], ids[np.clip(first[:, None] + at, 0, len(ids) - 1)], -1)
-            out[at < 0] = 0
-            rows = [out[k : k + ROW_WINDOWS].astype(np.int16).tobytes() for k in range(0, len(out), ROW_WINDOWS)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["windows"])
+            rows = windows_of(network.ids(hashes, forms), counts)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k : k + ROW_WINDOWS].tobytes() for k in range(0, len(rows), ROW_WINDOWS)], pa.binary())], ["windows"])
 
     return run
 
 
-def _read(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.int16).reshape(-1, WINDOW + 1).astype(np.int64)
+def windows_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each document's windows (the token before, 0 at its start, then WINDOW ids, -1 after the end)."""
+    number = -(-counts // WINDOW)
+    doc = np.repeat(np.arange(len(counts)), number)
+    begin = (np.arange(len(doc)) - (np.cumsum(number) - number)[doc]) * WINDOW
+    at = begin[:, None] - 1 + np.arange(WINDOW + 1)
+    first = np.cumsum(counts) - counts
+    out = np.where(at < counts[doc][:, None], ids[np.clip(first[doc][:, None] + at, 0, len(ids) - 1)], -1)
+    out[at < 0] = 0
+    return out.astype(np.int16)
+
+
+def _read(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' windows, and which of them begin without a state: a document's or a row's first."""
+    windows = np.frombuffer(b"".join(rows), np.int16).reshape(-1, WINDOW + 1)
+    fresh = windows[:, 0] == 0
+    fresh[np.cumsum([0, *(len(r) // (2 * WINDOW + 2) for r in rows[:-1])])] = True
+    return windows, fresh
 
 
 def _refined(shared):
@@ -335,8 +360,8 @@ def _refined(shared):
         if rows:
             # A worker keeps its broadcast values: learn on a copy.
             network: Network = copy.deepcopy(shared.value)
-            windows = _read(rows)
-            network.learn(windows, REFINE_RATE, 1)
+            windows, fresh = _read(rows)
+            network.learn(windows, fresh, REFINE_RATE, 1)
             yield pa.RecordBatch.from_arrays([pa.array([(network.flat().astype(np.float64) * len(windows)).tobytes()], pa.binary()), pa.array([len(windows)], pa.int64())], ["weights", "n"])
 
     return run
@@ -400,8 +425,8 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     windows = written(docs.where("NOT held_out").mapInArrow(_windows(spark.sparkContext.broadcast(network)), "windows binary"), "windows")
     seed = [r[0] for r in windows.orderBy(F.xxhash64("windows")).limit(SEED_ROWS).collect()]
     if seed:
-        network.learn(_read(seed), RATE, SEED_EPOCHS)
-        parts_sum = windows.repartition(max(1, parts // 4)).mapInArrow(_refined(spark.sparkContext.broadcast(network)), "weights binary, n long")
+        network.learn(*_read(seed), RATE, SEED_EPOCHS)
+        parts_sum = windows.repartition(max(1, parts // 4, _size(windows) // SHARD_WINDOWS)).mapInArrow(_refined(spark.sparkContext.broadcast(network)), "weights binary, n long")
         merged = parts_sum.repartition(8).mapInArrow(_summed, "weights binary, n long").collect()
         network.set_flat(sum(np.frombuffer(r[0], np.float64) for r in merged) / sum(r[1] for r in merged))
     shared = spark.sparkContext.broadcast((network, spread, n_all, v_all))

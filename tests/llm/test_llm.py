@@ -206,6 +206,19 @@ def test_recurrent_gradient():
     assert abs((net.output(moved, ids)[0].sum() - net.output(states, ids)[0].sum()) / 1e-5 - back[2, 4]) < 1e-3
 
 
+def test_recurrent_windows_hold_all_tokens():
+    counts = np.array([1, 64, 65, 20_000, 300])
+    ids = np.concatenate([np.append(np.random.default_rng(3).integers(1, 2000, n - 1), 0) for n in counts])
+    windows = recurrent.windows_of(ids, counts)
+    assert (windows[:, 1:][windows[:, 1:] >= 0] == ids).all()
+    again, fresh = recurrent._read([windows[k : k + 64].tobytes() for k in range(0, len(windows), 64)])
+    assert (again == windows).all()
+    starts = np.cumsum(-(-counts // recurrent.WINDOW)) - -(-counts // recurrent.WINDOW)
+    assert set(np.flatnonzero(fresh)) == {*starts.tolist(), *range(0, len(windows), 64)}
+    rest = np.setdiff1d(np.arange(len(windows)), starts)
+    assert (windows[rest, 0] == windows[rest - 1, -1]).all() and not windows[starts, 0].any()
+
+
 # 6: decontamination
 def test_decontamination(spark, docs, data, monkeypatch):
     items = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "short item"), ("c", None), (None, "null named words"), ("a", "again here")]
