@@ -13,8 +13,9 @@ link is verified by the exact probability Jaccard similarity of the whole texts.
 nodes isn't turned into its pairs: each node is compared with its best bucket's first node, then
 with the first nodes of its other buckets that lie in other components, and last, in buckets that
 still hold several components, with the nodes of other components, in blocks, where the registers
-do not exclude a link (estimate below `threshold` by over four standard deviations).  So every
-candidate link between different components is tried, and components are those of all links.
+do not exclude a link (estimate below `threshold` by over `EXCLUDED` standard deviations).  A link at
+the threshold is excluded there with a probability of about 1.5e-05; every other candidate link between
+different components is tried.
 
 Defined results: null, empty or white texts have no shingles and form groups of their own; rows that
 repeat a doc_id are one document; a row without doc_id is in no group (null class); an empty table
@@ -38,6 +39,8 @@ SHINGLE = 5
 REGISTERS, BANDS, ROWS_PER_BAND = 160, 20, 4
 #: Partners of other components that a node is compared with in each round; the last takes all that are left.
 ROUNDS = (2, 8, None)
+#: Standard deviations below the threshold from which on registers exclude a pair: no likelier than a miss by all bands.
+EXCLUDED = 4.5
 #: Pairs that share one copy of a frequent node's text while links are verified.
 PAIRS_PER_COPY = 64
 #: Links that one task unites: 16 bytes each; more go the distributed way.
@@ -212,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _cross(threshold: float, partners: int | None):
     """Of each block of a bucket, for each node the likeliest partners in other components that the registers do not exclude."""
-    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    least = threshold - EXCLUDED * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def flush(rows):
         node, label, side = (np.array([r[k] for r in rows]) for k in range(3))

@@ -270,6 +270,17 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect() if r.doc_id) == [1, 4, 5, 6, 7, 20]
 
 
+def test_registers_seldom_exclude_a_link():
+    found = {}
+    for same in range(90, 161):
+        a, b = np.zeros(160, np.uint16), np.r_[np.zeros(same, np.uint16), np.ones(160 - same, np.uint16)]
+        names = ("bh", "i", "j", "node", "label", "side", "registers")
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([1, 1], [0, 0], [0, 0], [1, 2], [1, 2], [2, 2], [a.tobytes(), b.tobytes()])], list(names))
+        found[same] = sum(x.num_rows for x in neardup._cross(0.8, None)([batch])) > 0
+    missed = sum(math.comb(160, k) * 0.8**k * 0.2 ** (160 - k) for k in range(161) if not found.get(k, False))
+    assert missed < (1 - 0.8**4) ** 20
+
+
 # 8: personal data
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
