@@ -12,11 +12,15 @@ Every document is scored, whole, where it is read; nothing is shuffled but the b
 
 Defined results: null texts count as empty; a text without any term gets the labelled rows' mean
 label; without labelled rows every score is 0.5; of several labels of a doc_id the lowest counts,
-null labels and labels without document count not at all; repeated rows are scored alike.
+null labels and labels without document count not at all; of several texts of a labelled doc_id one is learnt
+from (that of the lowest hash); of equally near neighbours the one of the lowest doc_id counts; repeated rows
+are scored alike; an empty table gives no rows; `keep_good` keeps all columns, `classify` and `score` ignore others.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -89,6 +93,16 @@ def term_matrix(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _axes(z: np.ndarray, dimensions: int, spare: int = 8, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors of z, by subspace iteration: nothing larger than z itself is held."""
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(z.shape[1], dimensions + spare)).astype(np.float32))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(z.T @ (z @ basis))[0]
+    inner = (z @ basis).astype(np.float64)
+    _, turn = np.linalg.eigh(inner.T @ inner)
+    return (basis @ turn[:, ::-1][:, :dimensions]).astype(np.float32)
+
+
 class Space:
     """The latent space and the labelled vectors in it."""
 
@@ -98,8 +112,7 @@ class Space:
         self.axes = np.eye(WIDTH, dimensions, dtype=np.float32)
         z = self.weighted(terms)
         if len(terms):
-            values, axes = np.linalg.eigh(z.T.astype(np.float64) @ z)
-            self.axes = axes[:, ::-1][:, :dimensions].astype(np.float32)
+            self.axes = _axes(z, dimensions)
         self.vectors = self.place(z)
 
     def weighted(self, terms: np.ndarray) -> np.ndarray:
@@ -122,33 +135,57 @@ class Space:
         for at in range(0, len(terms), BLOCK):
             v = self.place(self.weighted(terms[at : at + BLOCK]))
             cosine = v @ self.vectors.T
-            top = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(v), 1))
+            if k < n:
+                # Of equal cosines (to five digits) the earlier vector is nearer.
+                rank = np.rint(cosine * 1e5).astype(np.int64) * n - np.arange(n)
+                top = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+            else:
+                top = np.tile(np.arange(n), (len(v), 1))
             vote = np.maximum(np.take_along_axis(cosine, top, 1), 0).astype(np.float64) ** power
             total = vote.sum(axis=1)
             some = total > 1e-12
             out[at : at + BLOCK][some] = ((vote * self.labels[top]).sum(axis=1)[some] / total[some]).clip(0, 1)
-        return out
+        return out.round(5)
 
 
 def _remainder(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod))
 
 
+def _fitted(dimensions: int):
+    """One task's whole sample, in order of _id, to the space's arrays."""
+
+    def run(batches):
+        rows = sorted((int(i), float(y), bytes(t)) for b in batches for i, y, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+        terms = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), WIDTH).astype(np.float32)
+        space, out = Space(terms, np.array([r[1] for r in rows], np.float32), dimensions), io.BytesIO()
+        np.savez(out, **vars(space))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["space"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, reference_rows: int = REFERENCE_ROWS, dimensions: int = 32) -> Space:
-    """A space from at most `reference_rows` labelled documents."""
+    """A space from at most `reference_rows` labelled documents, fitted in one task; the driver gets its arrays only."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col("quality").cast("int")).alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(reference_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_hash"))
 
     def run(batches):
         for batch in chunked(batches):
             terms = term_matrix(text_column(batch, "text")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_label")] + [pa.array([t.tobytes() for t in terms], pa.binary())], ["_id", "_label", "terms"])
-
-    rows = texts.join(F.broadcast(sample), "_id").select("_id", "_label", "text").mapInArrow(run, "_id long, _label int, terms binary").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))[:reference_rows]
-    terms = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.float16).reshape(len(rows), WIDTH).astype(np.float32)
-    return Space(terms, np.array([r[1] for r in rows], np.float32), dimensions)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_label", "_hash")] + [pa.array([t.tobytes() for t in terms], pa.binary())], ["_id", "_label", "_hash", "terms"])
+
+    rows = texts.join(F.broadcast(sample), "_id").select("_id", "_label", "_hash", "text").mapInArrow(run, "_id long, _label int, _hash long, terms binary")
+    # Rows of one doc_id count once, as the text of the lowest hash.
+    rows = rows.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by("terms", "_hash").alias("terms"))
+    found = rows.coalesce(1).mapInArrow(_fitted(dimensions), "space binary").collect()
+    space = Space(np.zeros((0, WIDTH), np.float32), np.zeros(0), dimensions)
+    if found:
+        with np.load(io.BytesIO(bytes(found[0][0]))) as arrays:
+            vars(space).update({k: arrays[k] for k in arrays.files})
+    return space
 
 
 def score(docs: DataFrame, space: Space, neighbours: int = 15, power: int = 8) -> DataFrame:
