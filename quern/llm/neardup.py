@@ -9,17 +9,19 @@ registers agree with the probability of their probability Jaccard similarity (th
 similarity where no shingle repeats).
 
 Texts of the same words form one node.  Nodes that share a band of registers are candidates; every
-link is verified by the exact probability Jaccard similarity of the whole texts.  A bucket of n
-nodes isn't turned into its pairs: each node is compared with its best bucket's first node, then
-with the first nodes of its other buckets that lie in other components, and last, in buckets that
-still hold several components, with the nodes of other components, in blocks, where the registers
-do not exclude a link (estimate below `threshold` by over `EXCLUDED` standard deviations).  A link at
-the threshold is excluded there with a probability of about 1.5e-05; every other candidate link between
-different components is tried.
-
-Defined results: null, empty or white texts have no shingles and form groups of their own; rows that
-repeat a doc_id are one document; a row without doc_id is in no group (null class); an empty table
-gives no rows; other columns are ignored.
+link is verified by the exact probability Jaccard similarity of the whole texts.  A bucket isn't turned
+into its pairs: each node is compared with its best bucket's first node, then with the first nodes of its
+other buckets that lie in other components.  In buckets that still hold several components, the nodes
+outside the largest of them meet all others in blocks of bounded size, where posting lists of shingles
+give the exact similarities; a block sends the links of a spanning forest only.  So every candidate
+pair of different components is compared exactly; what bands miss is missed (a link of similarity 0.8 by
+all 20 bands about once in 36,000).  Buckets, pivots, texts and groups that hold many rows are dealt out.
+
+Defined results: null, empty or white texts have no shingles and form groups of their own; a row without
+doc_id is in no group (null class); rows of one doc_id with different texts are grouped each by its own
+text, and rows that repeat doc_id and text share a class; of a group all rows of its lowest doc_id are kept;
+an empty table gives no rows; other columns are ignored by `near_duplicates` and kept, whatever their
+names, by `keep_one`.
 """
 
 from __future__ import annotations
@@ -31,22 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import chunked, hash_spans, join_hash, mix, run_hash, text_buffer, text_column, word_spans
-from quern.llm.tables import written
+from quern.llm.common import chunked, expand, hash_spans, join_hash, mix, run_hash, text_buffer, text_column, word_spans
+from quern.llm.tables import dealt_join, written
 
 SHINGLE = 5
-#: Registers of a text; the first BANDS * ROWS_PER_BAND of them make bands, all of them estimates.
-REGISTERS, BANDS, ROWS_PER_BAND = 160, 20, 4
-#: Partners of other components that a node is compared with in each round; the last takes all that are left.
-ROUNDS = (2, 8, None)
-#: Standard deviations below the threshold from which on registers exclude a pair: no likelier than a miss by all bands.
-EXCLUDED = 4.5
-#: Pairs that share one copy of a frequent node's text while links are verified.
-PAIRS_PER_COPY = 64
+#: Registers of a text, in bands.
+BANDS, ROWS_PER_BAND = 20, 4
+REGISTERS = BANDS * ROWS_PER_BAND
 #: Links that one task unites: 16 bytes each; more go the distributed way.
 LOCAL_LINKS = 1 << 20
-#: Nodes of a bucket in one block of comparisons.
-BLOCK = 1000
+#: Nodes and words of a bucket's part in one block of comparisons.
+BLOCK, BLOCK_WORDS = 1000, 1 << 20
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -114,7 +111,7 @@ def registers(owner: np.ndarray, keys: np.ndarray, weight: np.ndarray, n: int, s
 
 def bands(values: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each band of registers and its number."""
-    rows = values[:, : BANDS * ROWS_PER_BAND].astype(np.uint64).reshape(len(values), BANDS, ROWS_PER_BAND)
+    rows = values.astype(np.uint64).reshape(len(values), BANDS, ROWS_PER_BAND)
     out = np.broadcast_to(np.arange(rows.shape[1], dtype=np.uint64) + np.uint64(1), rows.shape[:2]).copy()
     for k in range(ROWS_PER_BAND):
         out = join_hash(out, rows[:, :, k])
@@ -141,42 +138,47 @@ def _signatures(batches):
     for batch in chunked(batches):
         n = batch.num_rows
         owner, keys, weight, words, doc = shingles(text_column(batch, "text"))
-        values = registers(owner, keys, weight, n)
         ends = np.searchsorted(doc, np.arange(n + 1))
         raw = words.tobytes()
         digest = [hashlib.md5(raw[ends[d] * 8 : ends[d + 1] * 8], usedforsecurity=False).digest() for d in range(n)]
         halves = np.frombuffer(b"".join(digest), np.int64).reshape(n, 2)
-        hashed = bands(values)
+        hashed = bands(registers(owner, keys, weight, n))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(ends)), pa.array([v.astype(np.uint16).tobytes() for v in values], pa.binary()), pa.array(list(hashed), pa.list_(pa.int64()))],
-            ["doc_id", "k1", "k2", "n_words", "registers", "bands"],
+            [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "th")), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(ends)), pa.array(list(hashed), pa.list_(pa.int64()))],
+            ["doc_id", "th", "k1", "k2", "n_words", "bands"],
         )
 
 
+def _sides(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's sorted shingles and their weights."""
+    owner, keys, weight, _, _ = shingles(texts)
+    order = np.lexsort((keys, owner))
+    ends = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    return [(keys[order[a:b]], weight[order[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _links(threshold: float):
     def run(batches):
-        for batch in chunked(batches, "text", 1 << 20):
-            sides = []
-            for name in ("text", "pivot_text"):
-                owner, keys, weight, _, _ = shingles(text_column(batch, name))
-                order = np.lexsort((keys, owner))
-                ends = np.searchsorted(owner[order], np.arange(batch.num_rows + 1))
-                sides.append([(keys[order[a:b]], weight[order[a:b]]) for a, b in zip(ends, ends[1:], strict=False)])
-            good = [similarity(a, b) >= threshold - 1e-9 for a, b in zip(*sides, strict=True)]
-            yield batch.select(["node", "pivot"]).filter(pa.array(good, pa.bool_()))
+        for some in chunked(batches, "text", 1 << 20):
+            for batch in chunked([some], "pivot_text", 4 << 20):
+                # Rows come by pivot: its text is taken apart once for all of them.
+                pivot = batch.column(batch.schema.get_field_index("pivot")).to_numpy()
+                first = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
+                pivots = _sides(text_column(batch, "pivot_text").take(pa.array(first)))
+                which = np.searchsorted(first, np.arange(len(pivot)), "right") - 1
+                good = [similarity(a, pivots[k]) >= threshold - 1e-9 for a, k in zip(_sides(text_column(batch, "text")), which, strict=True)]
+                yield batch.select(["node", "pivot"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (node, pivot), those whose texts (doc_id, text) are so similar.  A pivot of many pairs is dealt out in copies."""
-    share = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_COPY)).cast("int").alias("copies"))
-    dealt = pairs.join(share, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"))
-    left = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    right = share.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    right = right.select("pivot", "pivot_text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    both = left.join(right, ["pivot", "copy"]).select("node", "pivot", "text", "pivot_text")
-    return both.mapInArrow(_links(threshold), "node long, pivot long").distinct()
+    """Of distinct pairs (node, pivot), those whose texts (node, text) are so similar.  A pivot of many pairs is dealt out in copies."""
+    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
+    left = pairs.select("node", "pivot").join(texts, "node")
+    right = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    both = dealt_join(left, right, ["pivot"], sizes, "node").select("node", "pivot", "text", "pivot_text")
+    return both.mapInArrow(_links(threshold), "node long, pivot long")
 
 
 def _united(batches):
@@ -213,41 +215,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross(threshold: float, partners: int | None):
-    """Of each block of a bucket, for each node the likeliest partners in other components that the registers do not exclude."""
-    least = threshold - EXCLUDED * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+def forest(label: np.ndarray, side: np.ndarray, texts: pa.Array, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the labels of so similar texts, a spanning forest of them: texts of side 0 and 2 are compared with those of side 1 and 2."""
+    owner, keys, weight, _, _ = shingles(texts)
+    n, least = len(texts), threshold - 1e-9
+    values, code = np.unique(keys, return_inverse=True)
+    code = code.ravel()
+    order = np.lexsort((code, owner))
+    owner, code, weight = owner[order], code[order], weight[order]
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    by_code = np.argsort(code, kind="stable")
+    start = np.searchsorted(code[by_code], np.arange(len(values) + 1))
+    mass, size = np.bincount(owner, weight, minlength=n), np.diff(ends)
+    plain = np.bincount(owner, weight != 1, minlength=n) == 0
+    root = np.unique(label, return_inverse=True)[1].ravel()
+    found = []
+    for q in np.flatnonzero(side != 1):
+        open_ = (side != 0) & (root != root[q])
+        if not open_.any():
+            continue
+        own = slice(ends[q], ends[q + 1])
+        lists = start[code[own]]
+        which, k = expand(start[code[own] + 1] - lists)
+        at = by_code[lists[which] + k]
+        # A text's similarity is at most the share of its weight that the other has as well, on either side.
+        near = open_ & (np.bincount(owner[at], weight[own][which], minlength=n) >= least * mass[q]) & (np.bincount(owner[at], weight[at], minlength=n) >= least * mass)
+        if plain[q] and near.any():
+            common = np.bincount(owner[at], minlength=n)
+            near &= ~plain | (common >= least * (size[q] + size - common))
+        for o in np.flatnonzero(near):
+            if root[o] == root[q]:
+                continue
+            if not (plain[q] and plain[o]) and similarity((code[own], weight[own]), (code[ends[o] : ends[o + 1]], weight[ends[o] : ends[o + 1]])) < least:
+                continue
+            found.append((int(q), int(o)))
+            root[root == root[o]] = root[q]
+    return found
+
+
+def _cross(threshold: float):
+    """The links of each block (rows of one bh, kind, i and j, which come together)."""
 
     def flush(rows):
-        node, label, side = (np.array([r[k] for r in rows]) for k in range(3))
-        values = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
-        found = []
-        for k in range(len(rows)):
-            other = np.flatnonzero((label != label[k]) & ((side != side[k]) | (side == 2)))
-            if len(other):
-                same = (values[other] == values[k]).mean(axis=1)
-                likely = np.flatnonzero(same >= least)
-                if partners is not None:
-                    likely = likely[np.lexsort((node[other[likely]], -same[likely]))[:partners]]
-                mates = node[other[likely]]
-                found.append(np.stack([np.maximum(mates, node[k]), np.minimum(mates, node[k])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        node = np.array([r[0] for r in rows])
+        pairs = forest(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.large_string()), threshold)
+        ends = np.array(pairs, np.int64).reshape(-1, 2)
+        a, b = node[ends[:, 0]], node[ends[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["node", "pivot"])
 
     def run(batches):
         rows, key = [], None
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bh", "i", "j", "node", "label", "side", "registers")]
-            out = []
-            for bh, i, j, *rest in zip(*cols, strict=True):
-                if (bh, i, j) != key and rows:
-                    out.append(flush(rows))
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bh", "kind", "i", "j", "node", "label", "side", "text")]
+            for *now, node, label, side, text in zip(*cols, strict=True):
+                if now != key and rows:
+                    yield flush(rows)
                     rows = []
-                key = (bh, i, j)
-                rows.append(rest)
-            got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["node", "pivot"])
+                key = now
+                rows.append((node, label, side, text))
         if rows:
-            got = flush(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["node", "pivot"])
+            yield flush(rows)
 
     return run
 
@@ -258,53 +285,69 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "node", "left").join(b, "pivot", "left").where(F.coalesce("_a", "node") != F.coalesce("_b", "pivot")).select("node", "pivot")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the lowest doc_id of its group, itself if alone), n_links (verified links of its text's node)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(texts.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n_words long, registers binary, bands array<long>"), "signatures")
+def _met_in_blocks(met: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between components that share a bucket of three nodes and more: all nodes outside a bucket's largest component against all."""
+    placed = met.where("n > 2").join(labels, "node", "left").select("bh", "node", "words", F.coalesce("label", "node").alias("label"))
+    parts = placed.groupBy("bh", "label").agg(F.count("*").alias("c"), F.sum("words").alias("w"))
+    largest = F.max(F.struct("c", "label", "w")).alias("top")
+    mixed = parts.groupBy("bh").agg(F.count("*").alias("_labels"), F.sum("c").alias("_c"), F.sum("w").alias("_w"), largest).where("_labels > 1")
+    number = lambda c, w: F.ceil(F.greatest(c / F.lit(BLOCK), w / F.lit(BLOCK_WORDS), F.lit(1.0))).cast("int")
+    mixed = mixed.select("bh", F.col("top.label").alias("major"), number(F.col("_c") - F.col("top.c"), F.col("_w") - F.col("top.w")).alias("minors"), number(F.col("top.c"), F.col("top.w")).alias("majors"))
+    known = dealt_join(placed, mixed, ["bh"], buckets.select("bh", "n"), "node").withColumn("minor", F.col("label") != F.col("major"))
+    known = known.select("bh", "node", "label", "minor", "minors", "majors", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int").alias("b")).join(texts, "node")
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    b = F.col("b")
+    others = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda o: place(0, F.least(o, b), F.greatest(o, b), F.when(o == b, 2).when(b < o, 0).otherwise(1)))
+    against = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda o: place(1, b, o, F.lit(0)))
+    met_by = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda o: place(1, o, b, F.lit(1)))
+    dealt = known.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(others, against)).otherwise(met_by)))
+    dealt = dealt.select("bh", "at.kind", "at.i", "at.j", "node", "label", "at.side", "text").repartition("bh", "kind", "i", "j").sortWithinPartitions("bh", "kind", "i", "j")
+    return dealt.mapInArrow(_cross(threshold), "node long, pivot long").distinct()
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, th (the text's hash), class_id of every row of (doc_id, th, text)."""
+    every = written(docs.mapInArrow(_signatures, "doc_id long, th long, k1 long, k2 long, n_words long, bands array<long>"), "signatures")
     some = every.where("n_words > 0 AND doc_id IS NOT NULL")
-    nodes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bh"))
-    pivots = banded.groupBy("bh").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"), F.count("*").alias("n")).where("pivot <> _last").drop("_last")
-    #: Only bands that several nodes share are of use from here on.
-    met = written(banded.join(pivots, "bh"), "met")
+    nodes = some.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc"), F.min_by("th", "doc_id").alias("th"), F.first("n_words").alias("words"), F.first("bands").alias("bands"))
+    # Numbers of rows stay what they are once they are written.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", "words", F.explode("bands").alias("bh"))
+    # Only bands that several nodes share are of use from here on.
+    buckets = written(banded.groupBy("bh").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = written(dealt_join(banded, buckets, ["bh"], buckets.select("bh", "n"), "node"), "met")
     pairs = written(met.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared")), "pairs")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "th")
     # Joined by a shuffle at every size: the candidates have no bound that would let them be broadcast.
-    texts = written(texts.join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id"), "texts")
+    texts = written(docs.groupBy("doc_id", "th").agg(F.first("text").alias("text")).join(wanted.hint("merge"), ["doc_id", "th"]).select("node", "text"), "texts")
 
     best = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     links = written(verify(best, texts, threshold), "links")
     labels = components(links)
-    rest = _apart(pairs, labels).join(best, ["node", "pivot"], "left_anti")
+    rest = written(_apart(pairs, labels).join(best, ["node", "pivot"], "left_anti"), "rest")
     links = written(links.unionByName(verify(rest, texts, threshold)), "links")
     labels = components(links)
+    links = written(links.unionByName(_met_in_blocks(met, buckets, labels, texts, threshold)), "links")
+    labels = components(links)
 
-    # Buckets of three nodes and more that still hold several components: compared in blocks.
-    tried = pairs.select("node", "pivot")
-    for partners in ROUNDS:
-        placed = met.where("n > 2").join(labels, "node", "left").select("bh", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = placed.groupBy("bh").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bh", F.lit(True).alias("_mixed"))
-        blocks = placed.join(mixed, "bh").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bh", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "label", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
-        dealt = dealt.join(nodes.select("node", "registers"), "node").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
-        cross = dealt.mapInArrow(_cross(threshold, partners), "node long, pivot long").distinct()
-        cross = written(cross.join(tried, ["node", "pivot"], "left_anti"), "cross")
-        if cross.isEmpty():
-            if partners is None:
-                break
-            continue
-        links = written(links.unionByName(verify(cross, texts, threshold)), "links")
-        labels = components(links)
-        tried = tried.unionByName(cross)
+    members = labels.join(nodes.select("node", "doc"), "node")
+    lowest = members.groupBy("label").agg(F.count("*").alias("n"), F.min("doc").alias("class_id"))
+    linked = dealt_join(members.select("node", "label"), lowest.select("label", "class_id"), ["label"], lowest.select("label", "n"), "node").select("node", "class_id")
+    known = nodes.join(linked, "node", "left").select("k1", "k2", F.coalesce("class_id", "doc").alias("class_id"))
+    out = dealt_join(some.select("doc_id", "th", "k1", "k2"), known, ["k1", "k2"], nodes.select("k1", "k2", "n"), "doc_id").select("doc_id", "th", "class_id")
+    return out.unionByName(every.where("n_words = 0 OR doc_id IS NULL").select("doc_id", "th", F.col("doc_id").alias("class_id")))
 
-    degree = links.select("node").unionByName(links.select(F.col("pivot").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.select("k1", "k2", "node").join(labels, "node", "left").join(degree, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = some.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    alone = every.where("n_words = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone)
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the lowest doc_id of its group, itself if alone) of every row."""
+    text = F.col("text").cast("string")
+    return _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), threshold).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows, with their columns, of one document of each group: the lowest doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    gone = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), threshold)
+    gone = gone.where("doc_id <> class_id").select("doc_id", "th").distinct()
+    return rows.join(gone, ["doc_id", "th"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -235,9 +235,18 @@ def test_decontamination(spark, docs, data, monkeypatch):
 
 
 # 7: near duplicates
-def jaccard(a, b):
-    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(a), words(b)))
-    return len(x & y) / len(x | y)
+def profile(text):
+    """Shingles of five words and their weights."""
+    w = words(text)
+    grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+    return {g: 1 + math.log(n) for g, n in grams.items()}
+
+
+def probability_jaccard(a, b):
+    both = a.keys() | b.keys()
+    if all(v == 1 for v in (*a.values(), *b.values())):
+        return len(a.keys() & b.keys()) / len(both)
+    return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in both) for d in a.keys() & b.keys())
 
 
 def test_probability_jaccard():
@@ -270,15 +279,84 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect() if r.doc_id) == [1, 4, 5, 6, 7, 20]
 
 
-def test_registers_seldom_exclude_a_link():
-    found = {}
-    for same in range(90, 161):
-        a, b = np.zeros(160, np.uint16), np.r_[np.zeros(same, np.uint16), np.ones(160 - same, np.uint16)]
-        names = ("bh", "i", "j", "node", "label", "side", "registers")
-        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([1, 1], [0, 0], [0, 0], [1, 2], [1, 2], [2, 2], [a.tobytes(), b.tobytes()])], list(names))
-        found[same] = sum(x.num_rows for x in neardup._cross(0.8, None)([batch])) > 0
-    missed = sum(math.comb(160, k) * 0.8**k * 0.2 ** (160 - k) for k in range(161) if not found.get(k, False))
-    assert missed < (1 - 0.8**4) ** 20
+def test_near_duplicates_against_brute_force(spark):
+    """Every pair of the table that is so similar lies in one class, and every class hangs together by such pairs."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    text = {r.doc_id: profile(r.text) for r in rows}
+    text = {i: p for i, p in text.items() if p}
+    holders = collections.defaultdict(list)
+    for i, p in text.items():
+        for g in p:
+            holders[g].append(i)
+    mass, parent, links = {i: sum(p.values()) for i, p in text.items()}, {i: i for i in text}, []
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, p in text.items():
+        shared = collections.Counter()
+        for g, w in p.items():
+            for j in holders[g]:
+                if j < i:
+                    shared[j] += w
+        # The similarity is at most the share of a text's weight that the other has as well.
+        for j, w in shared.items():
+            if w >= 0.8 * mass[i] - 1e-9 and min(len(text[i]), len(text[j])) >= 0.4 * max(len(text[i]), len(text[j])) and probability_jaccard(p, text[j]) >= 0.8 - 1e-9:
+                links.append((i, j))
+                parent[root(i)] = root(j)
+    assert len(links) > 50 and sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
+    assert all(root(i) == root(got[i]) for i in text if got[i] in text)
+
+
+def test_forest_against_brute_force():
+    random.seed(6)
+    for _ in range(8):
+        base = [random.choice("abcdefgh") + str(random.randrange(30)) for _ in range(40)]
+        texts = []
+        for _ in range(24):
+            w = list(base) + base[: random.randrange(12)] * random.randrange(3)
+            for _ in range(random.randrange(3)):
+                w[random.randrange(len(w))] = f"z{random.randrange(9)}"
+            texts.append(" ".join(w))
+        labels, side = np.array([random.randrange(12) for _ in texts]), np.array([random.choice([0, 1]) for _ in texts])
+        found = neardup.forest(labels, side, pa.array(texts, pa.large_string()), 0.8)
+        p = [profile(t) for t in texts]
+        want = {(a, b) for a in np.flatnonzero(side == 0) for b in np.flatnonzero(side == 1) if labels[a] != labels[b] and probability_jaccard(p[a], p[b]) >= 0.8 - 1e-9}
+        assert set(found) <= want
+
+        def groups(pairs):
+            of = {int(x): int(x) for x in labels}
+            for a, b in pairs:
+                x, y = of[int(labels[a])], of[int(labels[b])]
+                of = {k: x if v == y else v for k, v in of.items()}
+            return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+        assert groups(found) == groups(want)
+
+
+def test_near_duplicates_of_odd_rows(spark, edges):
+    long = " ".join(f"u{k}" for k in range(50))
+    rows = [(1, long, "a", 1), (1, "wholly different words that nobody else has", "b", 2), (2, long, "c", 3), (3, "wholly different words that nobody else has", "d", 4), (5, "own text of five words or more", "e", 5), (5, "own text of five words or more", "e", 5), (None, long, "f", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, node long")
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and sorted(r._gone for r in kept.collect()) == ["a", "b", "e", "e", "f"]
+    assert sorted(r.class_id for r in neardup.near_duplicates(df).where("doc_id IS NOT NULL").collect()) == [1, 1, 1, 1, 5, 5]
+    got = neardup.near_duplicates(edges)
+    assert got.count() == len(EDGES) and neardup.keep_one(edges).columns == edges.columns
+    assert {(r.doc_id, r.class_id) for r in got.collect()} >= {(4, 4), (5, 4), (7, 7), (1, 1), (2, 2), (None, None)}
+
+
+def test_hot_keys_are_dealt(spark):
+    from quern.llm import tables
+
+    many = spark.range(2000).selectExpr("if(id < 1500, 0, id) AS k", "id AS v")
+    one = spark.range(1400, 2100).selectExpr("id AS k", "id * 2 AS w").unionByName(spark.sql("SELECT 0L AS k, 7L AS w"))
+    sizes = many.groupBy("k").count().withColumnRenamed("count", "n")
+    got = sorted(map(tuple, tables.dealt_join(many, one, ["k"], sizes, "v").select("k", "v", "w").collect()))
+    assert got == sorted([(0, v, 7) for v in range(1500)] + [(v, v, 2 * v) for v in range(1500, 2000)])
 
 
 # 8: personal data
