@@ -5,37 +5,46 @@ pages of a host each token has an occurrence vector (how often it occurs in whic
 own text (what tag roles leave) is the same are copies and count as one.  Tokens that share the vector
 form an equivalence class; a class that is large (several tokens) and frequent (half of the like pages,
 and two at least) is valid.  Like pages are the host's, or, where a class of `GROUP_PAGES` pages lies in
-one of them only, those of one first directory or of one layout of outer elements.  Vectors are compared
-by an order-free hash, so the corpus is only counted per (host, token), with partial sums before the
-shuffle: a host may hold any share of the pages.  Hashes of contents that repeat are broadcast.  The valid classes, nested by their tags' paths, are the host's template: blocks
-that are template tokens are furniture, and what lies between template tokens are slots.  Slots under
-elements of a boilerplate role (menus, adverts, forms, comments ...) are left out as well; of the rest, those in
-article or main elements are the text, or, in pages without such elements, those that are not mostly links.
+one of them only, those of one first directory or of one layout of outer elements.
+
+On each page the valid classes are nested into the template: the class of most tokens first, then each
+that lies in one gap between neighbouring tokens of every class before it, or has that class in one gap of
+its own; classes that cross are not part of the template there.  What lies between template tokens are
+slots; text blocks that are template tokens are furniture.  Slots under elements of a boilerplate role
+(menus, adverts, forms, comments ...) are left out as well; of the rest, those in article or main elements
+are the text, or, in pages without such elements, those that are not mostly links.
+
+Vectors are compared by an order-free hash, so the corpus is only counted per (host, token), with partial
+sums before the shuffle: a host may hold any share of the pages, and html is not shuffled.  Templates of up
+to `BROADCAST_TOKENS` tokens in all are broadcast; more are joined to the pages' tokens.
 
 Defined results: a null, empty or text-less page has the empty text; a page whose slots are all template
-tokens keeps them; a page without URL belongs to the
-host ''; broken and truncated markup is read as far as it goes; very long pages are read whole; rows keep
-their page_id, repeated or null; an empty table gives no rows; other columns are ignored.
+tokens keeps them; a page without URL belongs to the host ''; broken and truncated markup is read as far as
+it goes; very long pages are read whole; repeated rows and copies count once and are extracted alike; rows
+keep their page_id, repeated or null; of classes of equal size the one that begins first is nested first; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import chunked
-from quern.llm.tables import written
+from quern.llm.common import chunked, mix
+from quern.llm.tables import dealt_join, written
 
 #: A class is valid from so many tokens and this share of a host's pages on.
 CLASS_TOKENS, CLASS_SHARE = 3, 0.5
 #: From so many distinct contents on a class is judged against a part of the host; depth of the elements that make a layout.
 GROUP_PAGES, LAYOUT_DEPTH = 3, 3
+#: Template tokens of all hosts (16 bytes each) up to which they are broadcast.
+BROADCAST_TOKENS = 2 << 20
 
 # HTML's element kinds.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -68,11 +77,12 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool, float]]]:
-    """The paths of start tags; and of each text block: text, path, boilerplate, in an article, share of link text."""
-    tags: list[str] = []
-    out: list[tuple[str, str, bool, bool, float]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, boilerplate, article
+def events(page: str) -> list[tuple[int, int, tuple | None]]:
+    """The page's tokens in order: (number, depth, None) of a start tag with its path, (number, depth, block) of a text
+    block: text, boilerplate, in an article, share of link text."""
+    out: list[tuple[int, int, tuple | None]] = []
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path, boilerplate, article, link
+    opened: dict[str, int] = defaultdict(int)
     parts: list[str] = []
     linked = 0
     at, size = 0, len(page)
@@ -82,18 +92,23 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool, float
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                _, path, bad, main = stack[-1] if stack else ("", "", False, False)
-                out.append((text, path, bad, main, linked / len(text)))
+                _, path, bad, main, _ = stack[-1] if stack else ("", 0, False, False, False)
+                out.append((_key(f"{path} {text}"), len(stack), (text, bad, main, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     while at < size:
         m = _TAG.search(page, at)
         to = m.start() if m else size
         if to > at:
             text = entities.unescape(page[at:to])
             parts.append(text)
-            if any(s[0] == "a" for s in stack[-3:]):
+            if stack and stack[-1][4]:
                 linked += len(text)
         if not m:
             break
@@ -104,135 +119,171 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool, float
         if name not in INLINE:
             flush()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             continue
         attributes = m[3] or m[6] or ""
-        if name in CLOSES or (name not in INLINE and name not in VOID):
+        if (opened["p"] or name in CLOSES and opened[name]) and (name in CLOSES or (name not in INLINE and name not in VOID)):
             # A block ends an open paragraph, and a cell or item its like, with what is open inside.
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name and name in CLOSES or stack[k][0] == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in HOLDERS:
                     break
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", 0, False, False, False)
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        path = f"{above[1]}/{name}" + ("".join(sorted(x[1] or x[2] or x[3] or "" for x in _NAMED.finditer(attributes))) if "=" in attributes else "")
-        path = path[-400:]
-        tags.append(path)
+        path = _key(f"{above[1]}/{name}" + ("".join(sorted(x[1] or x[2] or x[3] or "" for x in _NAMED.finditer(attributes))) if "=" in attributes else ""))
+        out.append((path, len(stack) + 1, None))
         if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE | HOLDERS:
             continue
         main = name in MAIN
         # Boilerplate that was never closed ends where an article begins.
         bad = not main and (above[2] or _boilerplate(name, attributes) or (name == "header" and not above[3]))
-        stack.append((name, path, bad, above[3] or main))
+        stack.append((name, path, bad, above[3] or main, above[4] or name == "a"))
+        opened[name] += 1
     flush()
-    return tags, out
-
-
-def _slots(found: list[tuple[str, str, bool, bool, float]]) -> list[tuple[str, str]]:
-    """Text and path of the blocks that tag roles leave."""
-    inside = any(main for _, _, _, main, _ in found)
-    return [(text, path) for text, path, bad, main, linked in found if not bad and (main if inside else linked <= 0.5)]
-
+    return out
+
+
+def _slots(found: list[tuple[int, int, tuple | None]]) -> list[tuple[int, str]]:
+    """Number and text of the blocks that tag roles leave."""
+    texts = [(number, block) for number, _, block in found if block]
+    inside = any(block[2] for _, block in texts)
+    return [(number, text) for number, (text, bad, main, linked) in texts if not bad and (main if inside else linked <= 0.5)]
+
+
+def nested(classes: list[int]) -> set[int]:
+    """The classes (0: none) of a page's tokens that nest: each lies in one gap of every other or has the other in one of its own."""
+    places: dict[int, list[int]] = defaultdict(list)
+    for place, c in enumerate(classes):
+        if c:
+            places[c].append(place)
+    kept: list[tuple[int, np.ndarray]] = []
+    for c, own in sorted(places.items(), key=lambda x: (-len(x[1]), x[1][0])):
+        mine = np.array(own)
+        if all(len(np.unique(np.searchsorted(other, mine))) == 1 or len(np.unique(np.searchsorted(mine, other))) == 1 for _, other in kept):
+            kept.append((c, mine))
+    return {c for c, _ in kept}
+
+
+def main_text(page: str, template) -> str:
+    """The text of the page's slots; template: from a list of tokens' numbers to their classes, 0 where they have none."""
+    found = events(page)
+    numbers = [number for number, *_ in found]
+    classes = template(numbers)
+    kept = nested(classes)
+    furniture = {number for number, c in zip(numbers, classes, strict=True) if c in kept}
+    slots = _slots(found)
+    own = [text for number, text in slots if number not in furniture]
+    # A page is never all template.
+    return " ".join(own or [text for _, text in slots])
 
-def _content(found: list[tuple[str, str, bool, bool, float]]) -> int:
-    """One number for all copies of a page's own text, whatever menus and adverts stand around it."""
-    return _key("\0".join(text for text, _ in _slots(found)))
 
+def _parsed(batches):
+    """Of each page its host and directory, layout, content (one number for all copies of a page's own text, whatever stands
+    around it) and tokens with their times."""
+    for batch in chunked(batches, "html"):
+        lists = [[] for _ in range(4)]
+        for text in batch.column(batch.schema.get_field_index("html")).to_pylist():
+            found = events(text or "")
+            counts = Counter(number for number, *_ in found)
+            outer = sorted({number for number, depth, block in found if depth <= LAYOUT_DEPTH and block is None})
+            for values, x in zip(lists, (_key(" ".join(map(str, outer))), _key("\0".join(t for _, t in _slots(found))), list(counts), list(counts.values())), strict=True):
+                values.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("host", "section", "page")] + [pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], ["host", "section", "page", "layout", "content", "tokens", "times"])
 
-def _layout(tags: list[str]) -> int:
-    """One number for pages with the same outer elements."""
-    return _key("\0".join(sorted({t for t in tags if t.count("/") <= LAYOUT_DEPTH})))
 
+def _extracted(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-def _groups(batches):
-    """Of each page its host, its groups of like pages and its content."""
-    for batch in chunked(batches, "html"):
-        found = [blocks(text or "") for text in batch.column(batch.schema.get_field_index("html")).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("host", "section")] + [pa.array([_layout(t) for t, _ in found], pa.int64()), pa.array([_content(f) for _, f in found], pa.int64())], ["host", "section", "layout", "content"])
 
+def _owned(host: int, numbers: np.ndarray) -> np.ndarray:
+    """A host's tokens among all hosts' tokens."""
+    return mix(numbers.astype(np.int64).view(np.uint64) ^ (np.uint64(host & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)))
 
-def _tokens(repeated):
-    """Tokens of each page; content: null where no other page of the table has it; mark: for the occurrence vector."""
 
+def _by_broadcast(shared):
     def run(batches):
-        known = repeated.value
+        keys, classes = shared.value
         for batch in chunked(batches, "html"):
-            lists = [[] for _ in range(7)]
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "section", "html")]
-            for host, section, text in zip(*cols, strict=True):
-                tags, found = blocks(text or "")
-                counts = Counter(_key("<" + t) for t in tags)
-                counts.update(_key(f"{path} {block}") for block, path, *_ in found)
-                content = _content(found)
-                at = np.searchsorted(known, content)
-                again = content if at < len(known) and known[at] == content else None
-                for values, x in zip(lists, (host, section, _layout(tags), again, content), strict=False):
-                    values += [x] * len(counts)
-                lists[5] += counts.keys()
-                lists[6] += counts.values()
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], ["host", "section", "layout", "again", "content", "token", "times"])
+            texts = []
+            for host, page in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host_key", "html")), strict=True):
 
-    return run
+                def template(numbers, host=host):
+                    own = _owned(host, np.array(numbers, np.int64))
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    return np.where(keys[at] == own, classes[at], 0).tolist() if len(keys) else [0] * len(numbers)
 
+                texts.append(main_text(page or "", template))
+            yield _extracted(batch, texts)
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    """The text of the page's slots."""
-    slots = _slots(blocks(page)[1])
-    own = [text for text, path in slots if _key(f"{path} {text}") not in template]
-    # A page is never all template.
-    return " ".join(own or [text for text, _ in slots])
+    return run
 
 
-def _extract(batches):
+def _by_join(batches):
     for batch in chunked(batches, "html"):
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "template")]
-        texts = [main_text(page or "", frozenset(template or ())) for page, template in zip(*cols, strict=True)]
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        texts = []
+        for found, page in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("template", "html")), strict=True):
+            known = {x["token"]: x["class"] for x in found or ()}
+            texts.append(main_text(page or "", lambda numbers, known=known: [known.get(n, 0) for n in numbers]))
+        yield _extracted(batch, texts)
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's valid equivalence classes."""
-    section = F.xxhash64(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1))
-    hosted = _hosted(pages).select("host", section.alias("section"), "html")
-    groups = hosted.mapInArrow(_groups, "host string, section long, layout long, content long").groupBy("host", "section", "layout", "content").agg(F.count("*").alias("n"))
-    groups = written(groups, "contents")
-    repeated = groups.groupBy("host", "content").agg(F.sum("n").alias("n")).where("n > 1").select("content").distinct().toArrow().column(0).to_numpy()
-    repeated = pages.sparkSession.sparkContext.broadcast(np.sort(repeated))
-    tokens = hosted.mapInArrow(_tokens(repeated), "host string, section long, layout long, again long, content long, token long, times int")
-    # Copies of a content count once: first alone, then in their token's vector.
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    section = F.xxhash64(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1))
+    html = F.col("html").cast("string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.xxhash64(host).alias("host_key"), section.alias("section"), F.xxhash64(html, F.reverse(html)).alias("page"), html.alias("html"))
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """host, token, class (a number that is not 0) and pages: the tokens of the hosts' valid equivalence classes."""
+    # Copies of a content count once, by the page of the lowest number.
+    once = parsed.groupBy("host", "content").agg(F.min_by(F.struct("section", "layout", "tokens", "times"), F.col("page")).alias("p")).select("host", "content", "p.*")
+    once = written(once, "contents")
+    tokens = once.select("host", "section", "layout", "content", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("host", "section", "layout", "content", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
     mark = F.xxhash64("content", "times")
     least = lambda c: (F.min(c).alias(c), F.max(c).alias(f"{c}_to"))
-    once = tokens.groupBy("host", "token", "again").agg(F.count("*").alias("rows"), F.bit_xor(mark).alias("vector"), F.max(mark).alias("one"), *least("section"), *least("layout"))
-    alone = F.col("again").isNull()
-    widest = lambda c: (F.min(c).alias(c), F.max(f"{c}_to").alias(f"{c}_to"))
-    seen = once.groupBy("host", "token").agg(F.sum(F.when(alone, F.col("rows")).otherwise(1)).alias("pages"), F.bit_xor(F.when(alone, F.col("vector")).otherwise(F.col("one"))).alias("vector"), *widest("section"), *widest("layout")).where("pages > 1")
-    kinds = ["section", "section_to", "layout", "layout_to"]
-    valid = seen.groupBy("host", "pages", "vector", *kinds).agg(F.count("*").alias("tokens"), F.collect_list("token").alias("members")).where(F.col("tokens") >= CLASS_TOKENS)
+    seen = written(tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(mark).alias("vector"), *least("section"), *least("layout")).where("pages > 1"), "tokens")
+    kinds = ["host", "pages", "vector", "section", "section_to", "layout", "layout_to"]
+    valid = seen.groupBy(*kinds).agg(F.count("*").alias("tokens")).where(F.col("tokens") >= CLASS_TOKENS)
     # A class is judged against the smallest group of like pages that holds all of its pages.
-    valid = valid.join(groups.groupBy("host").agg(F.countDistinct("content").alias("like_host")), "host")
+    groups = once.groupBy("host", "section", "layout").agg(F.count("*").alias("n"))
+    valid = valid.join(groups.groupBy("host").agg(F.sum("n").alias("like_host")), "host")
     for c in ("section", "layout"):
-        like = groups.groupBy("host", c).agg(F.countDistinct("content").alias(f"like_{c}"))
+        like = groups.groupBy(F.col("host").alias("_host"), F.col(c).alias("_of")).agg(F.sum("n").alias(f"like_{c}"))
         valid = valid.withColumn("_in", F.when((F.col(c) == F.col(f"{c}_to")) & (F.col("pages") >= GROUP_PAGES), F.col(c)))
-        valid = valid.join(like.withColumnRenamed("host", "_host").withColumnRenamed(c, "_of"), (F.col("host") == F.col("_host")) & (F.col("_in") == F.col("_of")), "left").drop("_host", "_of", "_in")
-    valid = valid.where(F.col("pages") >= CLASS_SHARE * F.least("like_host", "like_section", "like_layout"))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
+        valid = valid.join(like, (F.col("host") == F.col("_host")) & (F.col("_in") == F.col("_of")), "left").drop("_host", "_of", "_in")
+    valid = valid.where(F.col("pages") >= CLASS_SHARE * F.least("like_host", "like_section", "like_layout")).select(*kinds)
+    name = F.xxhash64(*kinds)
+    return seen.join(valid, kinds).select("host", "token", F.when(name == 0, 1).otherwise(name).alias("class"), "pages")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page."""
-    return _hosted(pages).join(templates(pages), "host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    hosted, out = _hosted(pages), "page_id long, url string, text string, n_chars long"
+    parsed = written(hosted.select("host", "section", "page", "html").mapInArrow(_parsed, "host string, section long, page long, layout long, content long, tokens array<long>, times array<int>"), "pages")
+    template = written(templates(parsed), "template")
+    if template.count() <= broadcast_tokens:
+        rows = template.select(F.xxhash64("host").alias("host"), "token", "class").toArrow()
+        host, token, kind = (rows.column(k).to_numpy() for k in range(3))
+        keys = mix(token.astype(np.int64).view(np.uint64) ^ (host.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.argsort(keys)
+        shared = pages.sparkSession.sparkContext.broadcast((keys[order], kind[order]))
+        return hosted.select("page_id", "url", "host_key", "html").mapInArrow(_by_broadcast(shared), out)
+    # Of each page the template tokens that it holds; a token of many pages is dealt out.
+    held = parsed.select("host", "page", F.explode("tokens").alias("token")).distinct()
+    sizes = template.select("host", "token", F.col("pages").alias("n"))
+    held = dealt_join(held, template.select("host", "token", "class"), ["host", "token"], sizes, "page").groupBy("host", "page").agg(F.collect_list(F.struct("token", "class")).alias("template"))
+    sizes = parsed.groupBy("host", "page").agg(F.count("*").alias("n"))
+    return dealt_join(hosted.select("page_id", "url", "host", "page", "html"), held, ["host", "page"], sizes, "page_id", "left").select("page_id", "url", "html", "template").mapInArrow(_by_join, out)

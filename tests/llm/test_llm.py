@@ -427,7 +427,7 @@ def test_forward_backward_is_exact():
 # 10: HTML
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href='/x'>Menu</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head</h1><p>One &amp; <b>tw</b>o<p>three<script>x</script><div class=comments>reader</div></article><footer>&copy; x</footer></body></html>"
-    assert html.main_text(page, frozenset()) == "Head One & two three"
+    assert html.main_text(page, lambda n: [0] * len(n)) == "Head One & two three"
     plain = [f"<body><div><p>Same words here</p><p>On every page</p><p>of this host</p><p>{k} own text of page {k}</p></div></body>" for k in range(6)]
     rows = [(k, "http://h.example.org/a", p) for k, p in enumerate(plain)] + [(50, None, None), (51, "u", ""), (52, "http://h2.example.org", "<p>cut &am"), (None, "http://h3", "<<<>>> &lt; a"), (53, "x", "<div" * 2000)]
     got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -452,6 +452,58 @@ def test_html_copies_and_sections(spark):
     assert got == copies + [(100 + 4 * s + k, f"own {s}-{k}") for s in range(3) for k in range(4)]
 
 
+def test_html_classes_nest():
+    assert html.nested([1, 2, 2, 1, 3, 0, 3]) == {1, 2, 3}
+    assert html.nested([1, 2, 1, 2, 1, 0]) == {1}  # classes that cross: the larger one stays
+    assert html.nested([1, 1, 2, 3, 3, 2, 1]) == {1, 2, 3} and html.nested([0, 0]) == set()
+
+
+def test_html_classes_against_brute_force(spark):
+    """Valid classes by whole occurrence vectors; and the joined way equals the broadcast one."""
+    random.seed(8)
+    rows = []
+    for k in range(40):
+        boxes = [f"<div class=b{b}><p>box {b}</p><p>more {b}</p><p>end {b}</p></div>" for b in range(4) if random.random() < 0.6]
+        rows.append((k, f"http://h{k % 3}.org/{'ab'[k % 2]}/{k}", f"<body>{boxes[0] if boxes else ''}<div><p>own {k // 2}</p><p>text {random.randrange(30)}</p></div>{''.join(boxes[1:])}</body>"))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS template", "1 AS page")
+    parsed = html._hosted(df).select("host", "section", "page", "html").mapInArrow(html._parsed, "host string, section long, page long, layout long, content long, tokens array<long>, times array<int>")
+    got = {(r.host, r.token) for r in html.templates(parsed).collect()}
+    by = {}
+    for r in sorted(parsed.collect(), key=lambda r: -r.page):
+        by[r.host, r.content] = r
+    want = set()
+    for host in {h for h, _ in by}:
+        mine = [r for (h, _), r in by.items() if h == host]
+        vectors = collections.defaultdict(dict)
+        for n, r in enumerate(mine):
+            for token, times in zip(r.tokens, r.times):
+                vectors[token][n] = times
+        classes = collections.defaultdict(list)
+        for token, v in vectors.items():
+            classes[tuple(sorted(v.items()))].append(token)
+        for v, members in classes.items():
+            like = [len(mine)]
+            for kind in ("section", "layout"):
+                of = {mine[n][kind] for n, _ in v}
+                if len(of) == 1 and len(v) >= 3:
+                    like.append(sum(r[kind] in of for r in mine))
+            if len(members) >= 3 and len(v) >= 2 and len(v) >= 0.5 * min(like):
+                want |= {(host, t) for t in members}
+    assert got == want and want
+    ways = [sorted(map(tuple, html.extract(df, n).collect())) for n in (1 << 20, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 45
+
+
+def test_html_odd_pages(spark):
+    long = "<article>" + "<p>" + " ".join(f"word{k}" for k in range(60_000)) + "</p>" + "<div>" * 3000 + "deep" + "</i>" * 3000
+    rows = [(1, None, None), (1, "", ""), (None, "http://a.org/x", long), (2, "http://a.org/x", long), (3, "http://a.org/y", "<a href=x><b><i><u>all link text</u></i></b></a>")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = collections.Counter((r.page_id, r.text[:5], r.n_chars) for r in got)
+    size = len(" ".join(f"word{k}" for k in range(60_000))) + 5
+    assert texts == {(1, "", 0): 2, (None, "word0", size): 1, (2, "word0", size): 1, (3, "", 0): 1}
+
+
 def test_empty_tables(spark, labels):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     for f in (media.media_digest, substrings.removed_words, bpe.encode_digest, recurrent.score, neardup.near_duplicates, pii.digest, language.identify):
