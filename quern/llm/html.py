@@ -206,9 +206,9 @@ def _extracted(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _owned(host: int, numbers: np.ndarray) -> np.ndarray:
-    """A host's tokens among all hosts' tokens."""
-    return mix(numbers.astype(np.int64).view(np.uint64) ^ (np.uint64(host & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)))
+def _owned(host: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Hosts' tokens among all hosts' tokens."""
+    return mix(numbers.astype(np.int64).view(np.uint64) ^ (host.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _by_broadcast(shared):
@@ -219,7 +219,7 @@ def _by_broadcast(shared):
             for host, page in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host_key", "html")), strict=True):
 
                 def template(numbers, host=host):
-                    own = _owned(host, np.array(numbers, np.int64))
+                    own = _owned(np.array([host]), np.array(numbers, np.int64))
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     return np.where(keys[at] == own, classes[at], 0).tolist() if len(keys) else [0] * len(numbers)
 
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataF
     if template.count() <= broadcast_tokens:
         rows = template.select(F.xxhash64("host").alias("host"), "token", "class").toArrow()
         host, token, kind = (rows.column(k).to_numpy() for k in range(3))
-        keys = mix(token.astype(np.int64).view(np.uint64) ^ (host.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        keys = _owned(host, token)
         order = np.argsort(keys)
         shared = pages.sparkSession.sparkContext.broadcast((keys[order], kind[order]))
         return hosted.select("page_id", "url", "host_key", "html").mapInArrow(_by_broadcast(shared), out)
