@@ -200,7 +200,7 @@ def _run(docs: DataFrame, keep_text: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(docs)
     chunks, buckets = max(2 * parts, size // CHUNK_TEXT), max(parts, size // BUCKET_TEXT)
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     blob, verdict = "bucket int, chunk long, once binary, more binary", "chunk long, hashes binary"
     anchors = docs.groupBy("chunk").applyInArrow(_send_anchors(buckets), blob)
     told = anchors.groupBy("bucket").applyInArrow(_resolve(1), verdict)
