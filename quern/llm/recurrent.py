@@ -9,13 +9,16 @@ their own, and the forms, within which a word's share follows its corpus count (
 and half for one unknown word of the form).
 
 The weights are fitted by truncated backpropagation in numpy (segments of `SEGMENT` tokens, the state
-carried over): first on a bounded seed of windows, then in one pass over all windows of every training
-document, shard by shard, whose weights are averaged by windows, in sums of sums.  A text's score is the
-log10 probability of all its tokens, the state carried from window to window from its first token to its end.
+carried over from a document's first token to its end): first on a bounded seed of documents, from which
+all start, then in one pass over all windows of every training document, in shards whose weights are
+averaged by windows, in sums of sums.  Shards follow from the documents' contents and the number of training
+tokens, never from the cluster's settings.  A text's score is the log10 probability of all its tokens, the
+state carried from window to window from its first token to its end.
 
 Defined results: a null or empty text is one end; a corpus without training tokens has N = V = 0 and an
-untrained network; very long texts are scored whole; rows keep their doc_id, repeated or null; an empty
-table gives no rows; other columns are ignored.
+untrained network; very long texts are learnt from and scored whole; rows keep their doc_id, repeated or
+null, and repeated rows are learnt from as often; words of equal counts are ordered by their hashes; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +37,12 @@ from quern.llm.tables import written
 
 VOCABULARY, FORMS, CLASS = 2048, 16, 48
 HIDDEN, SEGMENT, WINDOW = 32, 32, 64
-SEED_ROWS, ROW_WINDOWS, SEED_EPOCHS = 48, 64, 6
-RATE, REFINE_RATE = 0.01, 0.002
-CHUNK_TEXT, BUCKET_TEXT, SHARD_WINDOWS = 32 << 20, 512 << 20, 32 << 20
+#: Documents of the seed, and windows of each of them that it takes.
+SEED_ROWS, SEED_WINDOWS, SEED_EPOCHS = 48, 64, 6
+RATE, REFINE_RATE, LANES = 0.01, 0.002, 256
+CHUNK_TEXT, BUCKET_TEXT = 32 << 20, 512 << 20
+#: Training tokens of a shard; the fewest shards; shards (or sums) that one task sums, and the sums that the driver gets.
+SHARD_TOKENS, SHARDS, FAN_IN, SUMS = 4 << 20, 8, 32, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -150,7 +156,7 @@ class Network:
                 back[some] += d @ w["v"][lo:hi]
         return out, back
 
-    def learn(self, windows: np.ndarray, fresh: np.ndarray, rate: float, epochs: int, lanes: int = 128) -> None:
+    def learn(self, windows: np.ndarray, fresh: np.ndarray, rate: float, epochs: int, lanes: int = LANES) -> None:
         """Adam steps on windows (n x WINDOW + 1 ids, -1 after the end), by segments with the state carried up to the next fresh window."""
         w = self.w
         first, second, steps = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
@@ -158,9 +164,10 @@ class Network:
         begins = np.flatnonzero(fresh)
         sizes = np.diff(np.append(begins, len(windows)))
         for _ in range(epochs):
-            # Each lane reads runs of windows one after another; the next run goes to the shortest lane.
+            # Each lane reads runs of windows one after another; the next run goes to the shortest lane, long ones first.
             heap, queues = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
-            for run in rng.permutation(len(begins)):
+            runs = rng.permutation(len(begins))
+            for run in runs[np.argsort(sizes[runs] < WINDOW // 2, kind="stable")]:
                 size, k = heap[0]
                 queues[k].append(np.arange(begins[run], begins[run] + sizes[run]))
                 heapq.heapreplace(heap, (size + int(sizes[run]), k))
@@ -176,53 +183,74 @@ class Network:
                         break
                     grad, h = self._segment(part, h)
                     steps += 1
+                    # Few lanes that are left move the weights less.
+                    size, root = rate * math.sqrt(len(now) / len(queues)) / (1 - 0.9**steps), math.sqrt(1 - 0.99**steps)
                     for k, g in grad.items():
-                        first[k] += 0.1 * (g - first[k])
-                        second[k] += 0.01 * (g * g - second[k])
-                        w[k] += rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)
+                        a, b = first[k], second[k]
+                        a *= 0.9
+                        b *= 0.99
+                        a += 0.1 * g
+                        g *= g
+                        g *= 0.01
+                        b += g
+                        move = np.sqrt(b, out=g)
+                        move += 1e-8 * root
+                        np.divide(a, move, out=move)
+                        move *= size * root
+                        w[k] += move
 
     def _segment(self, part: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-        w, n, size = self.w, len(part), part.shape[1] - 1
+        """Gradients of the mean log likelihood of part's ids (after the first) from states h, and the last states."""
+        w, n, size, hid = self.w, len(part), part.shape[1] - 1, HIDDEN
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        kept, states = [], np.empty((size, n, HIDDEN), np.float32)
+        used = np.maximum(part[:, :-1].T, 0)
+        gates = w["x"][used]  # of time, text and gate: z and r, then m
+        states, inner = np.empty((size + 1, n, hid), w["x"].dtype), np.empty((size, n, hid), w["x"].dtype)
+        states[0] = h
         for t in range(size):
-            ids = np.maximum(part[:, t], 0)
-            g, a = w["x"][ids], h @ w["u"]
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
-            z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
-            m = np.tanh(g[:, 2 * HIDDEN :] + r * an)
-            kept.append((ids, h, z, r, an, m))
-            h = m + z * (h - m)
-            states[t] = h
+            a, g = states[t] @ w["u"], gates[t]
+            zr, m = g[:, : 2 * hid], g[:, 2 * hid :]
+            zr += a[:, : 2 * hid]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            inner[t] = a[:, 2 * hid :]
+            m += zr[:, hid:] * inner[t]
+            np.tanh(m, out=m)
+            step = states[t] - m
+            step *= zr[:, :hid]
+            np.add(step, m, out=states[t + 1])
         wanted = part[:, 1:].T
         live = wanted >= 0
         count = max(int(live.sum()), 1)
-        _, back = self.output(states[live], wanted[live], grad)
-        outer = np.zeros_like(states)
+        _, back = self.output(states[1:][live], wanted[live], grad)
+        outer = np.zeros_like(inner)
         outer[live] = back
-        d = np.zeros((n, HIDDEN), np.float32)
-        into = np.empty((size, n, 3 * HIDDEN), np.float32)
+        z, r, m, before = gates[..., :hid], gates[..., hid : 2 * hid], gates[..., 2 * hid :], states[:-1]
+        to_m, to_z, to_r = (1 - z) * (1 - m * m), (before - m) * z * (1 - z), inner * r * (1 - r)
+        d, down = np.zeros((n, hid), w["x"].dtype), np.ascontiguousarray(w["u"].T)
+        into, middle = np.empty_like(gates), np.empty_like(inner)
         for t in range(size - 1, -1, -1):
-            ids, before, z, r, an, m = kept[t]
-            d = d + outer[t]
-            dm = d * (1 - z) * (1 - m * m)
-            dz = d * (before - m) * z * (1 - z)
-            dr = dm * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dm * r], 1)
-            grad["u"] += before.T @ da
-            into[t] = np.concatenate([dz, dr, dm], 1)
-            d = d * z + da @ w["u"].T
-        used = np.concatenate([k[0] for k in kept])
-        order = np.argsort(used, kind="stable")
-        rows, edges = np.unique(used[order], return_index=True)
-        grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], edges)
+            d += outer[t]
+            dm, row = np.multiply(d, to_m[t], out=middle[t]), into[t]
+            np.multiply(d, to_z[t], out=row[:, :hid])
+            np.multiply(dm, to_r[t], out=row[:, hid : 2 * hid])
+            np.multiply(dm, r[t], out=row[:, 2 * hid :])
+            d *= z[t]
+            d += row @ down
+        grad["u"] += before.reshape(-1, hid).T @ into.reshape(-1, 3 * hid)
+        into[..., 2 * hid :] = middle
+        order = np.argsort(used, axis=None, kind="stable")
+        rows, edges = np.unique(used.ravel()[order], return_index=True)
+        grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * hid)[order], edges)
         for g in grad.values():
             g /= count
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         if norm > 1:
             for g in grad.values():
                 g /= norm
-        return grad, h
+        return grad, states[-1]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -320,14 +348,15 @@ def _totals(share: int):
 
 
 def _windows(shared):
-    """All training tokens in consecutive windows, document by document, in rows of ROW_WINDOWS windows at most."""
+    """All training tokens in consecutive windows, a document a row."""
 
     def run(batches):
         network: Network = shared.value
         for batch in chunked(batches):
             hashes, forms, counts = tokens(text_column(batch, "text"))
             rows = windows_of(network.ids(hashes, forms), counts)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[k : k + ROW_WINDOWS].tobytes() for k in range(0, len(rows), ROW_WINDOWS)], pa.binary())], ["windows"])
+            ends = np.cumsum(-(-counts // WINDOW))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[a:b].tobytes() for a, b in zip(np.append(0, ends), ends, strict=False)], pa.binary())], ["windows"])
 
     return run
 
@@ -353,28 +382,24 @@ def _read(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refined(shared):
-    """A task's weights after one pass over its windows, times its windows, and their number."""
+    """A shard's weights after one pass over its windows, and their number."""
 
-    def run(batches):
-        rows = [r for b in batches for r in b.column(0).to_pylist()]
-        if rows:
-            # A worker keeps its broadcast values: learn on a copy.
-            network: Network = copy.deepcopy(shared.value)
-            windows, fresh = _read(rows)
-            network.learn(windows, fresh, REFINE_RATE, 1)
-            yield pa.RecordBatch.from_arrays([pa.array([(network.flat().astype(np.float64) * len(windows)).tobytes()], pa.binary()), pa.array([len(windows)], pa.int64())], ["weights", "n"])
+    def run(key, table):
+        # A worker keeps its broadcast values: learn on a copy.  The order of rows is that of their contents.
+        network: Network = copy.deepcopy(shared.value)
+        windows, fresh = _read(sorted(table.column("windows").to_pylist()))
+        network.learn(windows, fresh, REFINE_RATE, 1)
+        return pa.table({"shard": pa.array([key[0].as_py()]), "weights": pa.array([network.flat().astype(np.float32).tobytes()], pa.binary()), "n": pa.array([len(windows)], pa.int64())})
 
     return run
 
 
-def _summed(batches):
-    total, n = None, 0
-    for b in batches:
-        for x, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(x, np.float64)
-            total, n = (x.copy() if total is None else total + x), n + k
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
+def _summed(key, table):
+    """The mean of weights by their numbers of windows; summed in order of shards."""
+    rows = sorted(zip(table.column("shard").to_pylist(), table.column("weights").to_pylist(), table.column("n").to_pylist(), strict=True))
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for _, x, n in rows)
+    n = sum(r[2] for r in rows)
+    return pa.table({"shard": pa.array([key[0].as_py()]), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
 def _scored(shared):
@@ -406,7 +431,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     # Hashes deal words evenly, so a bucket has about VOCABULARY / buckets of the most frequent; it may name four times as many and 32.
     share = min(VOCABULARY, 4 * VOCABULARY // buckets + 32)
     docs = docs.withColumn("held_out", _held(folds, held_out))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     sent = dealt.groupBy("chunk").applyInArrow(_counted(buckets), "bucket int, chunk long, hashes binary, times binary, forms binary")
     told = written(sent.groupBy("bucket").applyInArrow(_totals(share), "chunk long, hashes binary, counts binary, top array<struct<hash:long,count:long,form:int>>, sums array<array<long>>"), "counts")
     sums = told.where("sums IS NOT NULL").select(F.posexplode("sums").alias("kind", "s")).select("kind", F.posexplode("s").alias("form", "n")).groupBy("kind", "form").agg(F.sum("n").alias("n")).collect()
@@ -423,11 +448,16 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     network = Network(np.array([end, *(t[0] for t in inner)], np.int64).view(np.uint64), np.array([ends, *(t[1] for t in inner)], np.float64), np.maximum(n_form, 0))
     spread = np.maximum(n_form, 0) + 0.5 * (np.maximum(v_form, 0) + 1)
     windows = written(docs.where("NOT held_out").mapInArrow(_windows(spark.sparkContext.broadcast(network)), "windows binary"), "windows")
-    seed = [r[0] for r in windows.orderBy(F.xxhash64("windows")).limit(SEED_ROWS).collect()]
+    seed = [r[0] for r in windows.orderBy(F.xxhash64("windows"), "windows").limit(SEED_ROWS).select(F.substring("windows", 1, SEED_WINDOWS * (WINDOW + 1) * 2)).collect()]
     if seed:
-        network.learn(*_read(seed), RATE, SEED_EPOCHS)
-        parts_sum = windows.repartition(max(1, parts // 4, _size(windows) // SHARD_WINDOWS)).mapInArrow(_refined(spark.sparkContext.broadcast(network)), "weights binary, n long")
-        merged = parts_sum.repartition(8).mapInArrow(_summed, "weights binary, n long").collect()
-        network.set_flat(sum(np.frombuffer(r[0], np.float64) for r in merged) / sum(r[1] for r in merged))
+        network.learn(*_read([bytes(r) for r in seed]), RATE, SEED_EPOCHS)
+        shards = max(SHARDS, -(-n_all // SHARD_TOKENS))
+        kind = "shard long, weights binary, n long"
+        found = windows.withColumn("shard", F.pmod(F.xxhash64("windows"), F.lit(shards))).groupBy("shard").applyInArrow(_refined(spark.sparkContext.broadcast(network)), kind)
+        while shards > SUMS:
+            shards = max(SUMS, -(-shards // FAN_IN))
+            found = found.withColumn("to", F.pmod("shard", F.lit(shards))).groupBy("to").applyInArrow(_summed, kind)
+        merged = sorted(map(tuple, found.collect()))
+        network.set_flat(sum(np.frombuffer(r[1], np.float32).astype(np.float64) * r[2] for r in merged) / sum(r[2] for r in merged))
     shared = spark.sparkContext.broadcast((network, spread, n_all, v_all))
     return dealt.groupBy("chunk").cogroup(told.where("chunk >= 0").select("chunk", "hashes", "counts").groupBy("chunk")).applyInArrow(_scored(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
