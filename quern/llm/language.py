@@ -1,32 +1,39 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) are labelled with languages.  A word's potentials come from its
-affixes (one to three bytes at either end), its two- and three-byte grams and itself (a lexicon), all
-hashed into one table; neighbouring labels have learnt transition potentials.  Weights are fitted in
-numpy by gradient steps on the exact likelihood.  A document's words get posterior probabilities by
-forward-backward over the whole text: blocks of words are reduced to transfer matrices, messages pass
-from block to block, and then into all blocks at once, so a very long text costs no more per word.
-The predicted language has the largest share of the words' posterior probability; that is the score.
-
-The fit uses at most `train_rows` documents (those with the smallest hash of doc_id) and of each one
-window of at most `TRAIN_WORDS` words; predictions read every word.
+Words (runs of letters, with A-Z and U+00C0 to U+00DE lower-cased) are labelled with languages.  A word's
+potentials come from its affixes (one to three bytes at either end), its two- and three-byte grams and
+itself (a lexicon), all hashed into one table; neighbouring labels have learnt transition potentials.
+Weights are fitted in numpy by gradient steps on the exact likelihood, over every word of the training
+texts: they are cut into sequences, and a third of these swap their second halves with a sequence of
+another language, so that transitions learn changes inside a text as well.  A document's words get posterior
+probabilities by forward-backward over the whole text: blocks of words are reduced to transfer matrices,
+messages pass from block to block, and then into all blocks at once, so a very long text costs no more per
+word.  The predicted language has the largest share of the words' posterior probability; that is the score.
+
+The fit uses at most `train_rows` documents, the same number of each language (those with the smallest hash
+of doc_id), one at least of each; predictions read every word of every text.
 
 Defined results: a null text or one without a letter is `und` with score 0; without training rows so
-is every text; ties go to the first language in order; repeated rows are predicted alike; an empty
-table gives no rows; other columns are ignored.
+is every text; ties go to the first language in order; of several texts of a doc_id in one language the fit
+takes that of the lowest hash; repeated rows are predicted alike; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.common import chunked, hash_spans, mix, text_buffer, text_column, word_spans
 
-TRAIN_ROWS, TRAIN_WORDS = 1600, 120
+TRAIN_ROWS = 1600
+#: Words of a training sequence, sequences of a gradient step, and the share of sequences that swap halves.
+SEQUENCE, STEP, SWITCHED = 60, 4096, 1 / 3
 TABLE = 1 << 16
-EPOCHS, RATE, DECAY = 30, 0.3, 1e-4
+EPOCHS, RATE, DECAY = 12, 0.3, 1e-4
 #: Words of a block of the chain.
 BLOCK = 32
 
@@ -87,6 +94,27 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.max(axis=-1, keepdims=True)
 
 
+def sequences(doc: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, place in it and language of every word; a sequence's words follow each other in the same order as before.
+    Words of documents are cut into sequences of SEQUENCE; some pairs of different languages swap their second halves."""
+    counts = np.bincount(doc, minlength=len(labels))
+    place = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+    per = -(-counts // SEQUENCE)
+    own = (np.cumsum(per) - per)[doc] + place // SEQUENCE
+    language = np.repeat(labels, per)
+    order = np.random.default_rng(3).permutation(len(language))[: int(len(language) * SWITCHED)]
+    a, b = order[0 : len(order) // 2 * 2 : 2], order[1::2]
+    other = np.arange(len(language))
+    differ = language[a] != language[b]
+    other[a[differ]], other[b[differ]] = b[differ], a[differ]
+    # Both sequences of a pair are longer than a half, or nothing is swapped.
+    size = np.bincount(own, minlength=len(language))
+    half = SEQUENCE // 2
+    other = np.where((size > half) & (size[other] > half), other, np.arange(len(language)))
+    late = place % SEQUENCE >= half
+    return np.where(late, other[own], own), place % SEQUENCE, labels[doc]
+
+
 class Chain:
     """The field: languages, the table of potentials and the transitions (in logarithms)."""
 
@@ -101,47 +129,54 @@ class Chain:
 
     def fit(self, texts: list[str], labels: list[int]) -> None:
         doc, number, owner, slot, kinds = _types(pa.array(texts, pa.large_string()))
-        k, n = len(self.languages), len(texts)
-        counts = np.bincount(doc, minlength=n)
-        width = int(counts.max(initial=0))
-        if not width:
+        if not len(doc):
             return
-        column = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
-        gold = np.array(labels)[doc]
-        total, table2, moves2 = len(doc), np.full((TABLE, k), 1e-6), np.full((k, k), 1e-6)
+        sequence, column, gold = sequences(doc, np.array(labels))
+        order = np.lexsort((column, sequence))
+        sequence, column, gold, number = sequence[order], column[order], gold[order], number[order]
+        k, moves2, table2 = len(self.languages), np.full((len(self.languages),) * 2, 1e-6), np.full((TABLE, len(self.languages)), 1e-6)
         for _ in range(EPOCHS):
-            phi = np.ones((width, n, k))
-            emission = self.scores(owner, slot, kinds)[number]
-            phi[column, doc] = np.exp(emission - emission.max(axis=1, keepdims=True))
-            mask = np.zeros((width, n, 1), bool)
-            mask[column, doc] = True
-            a = np.exp(self.moves)
-            f = np.empty((width + 1, n, k))
-            f[0] = 1 / k
-            for t in range(width):
-                f[t + 1] = np.where(mask[t], _scaled((f[t] @ a) * phi[t]), f[t])
-            b = np.ones((n, k))
-            posterior, pairs = np.empty((width, n, k)), np.zeros((k, k))
-            for t in range(width - 1, -1, -1):
-                p = f[t + 1] * b
-                posterior[t] = p / p.sum(axis=1, keepdims=True)
-                joint = f[t][:, :, None] * a[None] * (phi[t] * b)[:, None, :]
-                joint /= joint.sum(axis=(1, 2), keepdims=True)
-                pairs += (joint * mask[t][:, :, None]).sum(axis=0)
-                b = np.where(mask[t], _scaled((phi[t] * b) @ a.T), b)
-            gap = -posterior[column, doc]
-            gap[np.arange(total), gold] += 1
-            by_kind = np.stack([np.bincount(number, gap[:, j], minlength=kinds) for j in range(k)], 1)
-            step = np.stack([np.bincount(slot, by_kind[owner, j], minlength=TABLE) for j in range(k)], 1) / n - DECAY * self.table
-            table2 += step**2
-            self.table += (RATE * step / np.sqrt(table2)).astype(np.float32)
-            inner = column > 0
-            seen = np.zeros((k, k))
-            np.add.at(seen, (gold[inner], gold[inner]), 1)
-            seen += np.bincount(gold[~inner], minlength=k)[None, :] / k
-            step = (seen - pairs) / total - DECAY * self.moves
-            moves2 += step**2
-            self.moves += RATE * step / np.sqrt(moves2)
+            for begin in range(0, int(sequence.max()) + 1, STEP):
+                now = np.flatnonzero((sequence >= begin) & (sequence < begin + STEP))
+                if not len(now):
+                    continue
+                emission = self.scores(owner, slot, kinds)[number[now]]
+                posterior, pairs = self.expected(sequence[now] - begin, column[now], emission)
+                gap = -posterior
+                gap[np.arange(len(now)), gold[now]] += 1
+                by_kind = np.stack([np.bincount(number[now], gap[:, j], minlength=kinds) for j in range(k)], 1)
+                step = np.stack([np.bincount(slot, by_kind[owner, j], minlength=TABLE) for j in range(k)], 1) / STEP - DECAY * self.table
+                table2 += step**2
+                self.table += (RATE * step / np.sqrt(table2)).astype(np.float32)
+                # Neighbours as they are, and a first word after any language alike.
+                seen, inner = np.zeros((k, k)), np.flatnonzero(column[now] > 0)
+                np.add.at(seen, (gold[now[inner] - 1], gold[now[inner]]), 1)
+                seen += np.bincount(gold[now][column[now] == 0], minlength=k)[None, :] / k
+                step = (seen - pairs) / len(now) - DECAY * self.moves
+                moves2 += step**2
+                self.moves += RATE * step / np.sqrt(moves2)
+
+    def expected(self, sequence: np.ndarray, column: np.ndarray, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior probabilities of the words' labels, and the expected number of each pair of neighbouring labels."""
+        k, n, width = len(self.languages), int(sequence.max()) + 1, int(column.max()) + 1
+        phi, mask = np.ones((width, n, k)), np.zeros((width, n, 1), bool)
+        phi[column, sequence] = np.exp(emission - emission.max(axis=1, keepdims=True))
+        mask[column, sequence] = True
+        a = np.exp(self.moves)
+        f = np.empty((width + 1, n, k))
+        f[0] = 1 / k
+        for t in range(width):
+            f[t + 1] = np.where(mask[t], _scaled((f[t] @ a) * phi[t]), f[t])
+        b = np.ones((n, k))
+        posterior, pairs = np.empty((width, n, k)), np.zeros((k, k))
+        for t in range(width - 1, -1, -1):
+            p = f[t + 1] * b
+            posterior[t] = p / p.sum(axis=1, keepdims=True)
+            joint = f[t][:, :, None] * a[None] * (phi[t] * b)[:, None, :]
+            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            pairs += (joint * mask[t][:, :, None]).sum(axis=0)
+            b = np.where(mask[t], _scaled((phi[t] * b) @ a.T), b)
+        return posterior[column, sequence], pairs
 
     def shares(self, texts: pa.Array) -> np.ndarray:
         """Each document's share of posterior probability of each language; zeros without words."""
@@ -194,35 +229,32 @@ class Chain:
         return out / np.maximum(counts, 1)[:, None]
 
 
-def _window(batches):
-    """Of each text one window of words, of bounded size; where it begins follows from the text's length."""
-    for batch in chunked(batches):
-        texts = text_column(batch, "text")
-        data, offsets = text_buffer(texts)
-        starts, stops, doc = word_spans(data, offsets)
-        counts = np.bincount(doc, minlength=batch.num_rows)
-        first = np.cumsum(counts) - counts
-        raw, cut = data.tobytes(), []
-        for d in range(batch.num_rows):
-            if not counts[d]:
-                cut.append("")
-                continue
-            spare = max(0, int(counts[d]) - TRAIN_WORDS)
-            at = first[d] + (int(counts[d]) * 2654435761) % (spare + 1)
-            cut.append(raw[starts[at] : stops[at + min(TRAIN_WORDS, int(counts[d])) - 1]][: TRAIN_WORDS * 64].decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("_id", "lang")] + [pa.array(cut, pa.string())], ["_id", "lang", "text"])
+def _fitted(batches):
+    """One task's training rows, in order, to a chain's arrays."""
+    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+    languages = sorted({r[1] for r in rows})
+    chain, out = Chain(languages), io.BytesIO()
+    chain.fit([r[2] for r in rows], [languages.index(r[1]) for r in rows])
+    np.savez(out, table=chain.table, moves=chain.moves)
+    yield pa.RecordBatch.from_arrays([pa.array([languages], pa.list_(pa.string())), pa.array([out.getvalue()], pa.binary())], ["languages", "chain"])
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, train_rows: int = TRAIN_ROWS) -> Chain:
-    """A chain from documents outside the held-out fold (crc32 of doc_id) with a language."""
+    """A chain from documents outside the held-out fold (crc32 of doc_id) with a language, fitted in one task; the driver gets its arrays only."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     usable = docs.where((fold != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = usable.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    rows = usable.join(F.broadcast(chosen), "_id").select("_id", "lang", "text").mapInArrow(_window, "_id long, lang string, text string").collect()
-    rows = sorted((tuple(r) for r in rows), key=repr)[:train_rows]
-    languages = sorted({r[1] for r in rows})
-    chain = Chain(languages)
-    chain.fit([r[2] for r in rows], [languages.index(r[1]) for r in rows])
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, train_rows // max(1, sizes.count()))
+    # Of a language's rows those of the smallest hashes, twice as many as needed, are ranked.
+    number = F.xxhash64("_id")
+    near = usable.select("_id", "lang").join(sizes, "lang").where(F.pmod(number, F.lit(1 << 20)) * F.col("n") <= F.lit(2 * each << 20)).select("_id", "lang").distinct()
+    chosen = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(number, F.lit(1 << 20)), "_id"))).where(F.col("_n") <= each).drop("_n")
+    rows = usable.join(F.broadcast(chosen), ["_id", "lang"]).groupBy("_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = rows.coalesce(1).mapInArrow(_fitted, "languages array<string>, chain binary").collect()
+    chain = Chain(list(found[0][0]) if found else [])
+    if found and chain.languages:
+        with np.load(io.BytesIO(bytes(found[0][1]))) as arrays:
+            chain.table, chain.moves = arrays["table"], arrays["moves"]
     return chain
 
 

@@ -478,6 +478,29 @@ def test_language(docs, edges):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_changes_inside_a_text(docs):
+    """Texts of two languages joined: the shares follow the parts, and transitions allow for a change."""
+    chain = language.fit(docs)
+    by = collections.defaultdict(str)
+    for r in docs.where("lang IS NOT NULL AND length(text) > 400").orderBy("doc_id").collect():
+        by[r.lang] = by[r.lang] or r.text[:400]
+    names = sorted(by)
+    for a, b in zip(names, names[1:]):
+        shares = dict(zip(chain.languages, chain.shares(pa.array([f"{by[a]} {by[b]}"], pa.large_string()))[0]))
+        assert shares[a] > 0.25 and shares[b] > 0.25
+    assert np.isfinite(chain.moves).all() and (np.diag(chain.moves) > (chain.moves.sum(axis=1) - np.diag(chain.moves)) / (len(names) - 1)).all()
+
+
+def test_language_sequences():
+    doc = np.repeat(np.arange(54), [0, 5, 60, 61, 200, 31, 400, 30, 100] * 6)
+    labels = np.arange(54) % 3
+    sequence, column, gold = language.sequences(doc, labels)
+    assert (gold == labels[doc]).all() and len({(a, b) for a, b in zip(sequence, column)}) == len(doc)
+    for s in set(sequence.tolist()):
+        assert sorted(column[sequence == s]) == list(range((sequence == s).sum()))
+    assert any(len(set(gold[sequence == s])) == 2 for s in set(sequence.tolist()))
+
+
 def test_forward_backward_is_exact():
     chain = language.Chain(["a", "b", "c"])
     rng = np.random.default_rng(4)
