@@ -465,6 +465,32 @@ def test_personal_data(spark, edges):
     assert pii.redacted(edges).columns == edges.columns
 
 
+def test_personal_data_extra_spans(spark):
+    """Confirmed formats add spans, refuted ones don't; extra spans overlap neither base spans nor each other."""
+    random.seed(11)
+    rows, number = [], lambda: f"({random.randrange(100, 1000)}) 555-{random.randrange(1000, 10000)}"
+    for k in range(300):
+        rows.append((k, f"some text {random.choice(['', 'phone '])}+1 {number()} and a host {random.randrange(256)}.1.2.3 there"))
+    extra = number()
+    rows += [(1000, f"reach us {extra} today"), (1001, f"code 12-{extra[1:4]}-99"), (1002, "write to jane [at] example [dot] com or call"), (1003, "1.2.3.4 " * 3000)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].spans == f"phone:9:{9 + len(extra)}" and got[1000].n_phone == 0 and got[1001].spans == ""
+    assert got[1003].n_ip == 3000 and got[1003].spans.endswith(f"ip:{8 * 2999}:{8 * 2999 + 7}")
+    for i, t in rows:
+        spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in got[i].spans.split(",") if x))
+        base = base_spans(t)
+        added = [x for x in got[i].spans.split(",") if x and x not in base.split(",")]
+        assert not added or all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_boosted_trees_calibrate():
+    rng = random.Random(4)
+    rows = [((3, 1, d, m, 2, 1, 1), 100.0, float(95 + rng.randrange(6) if d == 3 else rng.randrange(30))) for d in range(6) for m in range(7)]
+    trees = pii.Trees(rows)
+    low = pii.Trees.thresholds([(v[0], v[1], trees.rate(v), n, good) for v, n, good in rows])
+    assert low[0] == 2.0 and all((trees.rate(v) >= low[7]) == (v[2] == 3) for v, _, _ in rows)
+
+
 # 9: language
 def test_language(docs, edges):
     truth = {r.doc_id: r.lang for r in docs.collect()}
