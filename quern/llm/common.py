@@ -6,6 +6,7 @@ operator needs characters.  All helpers are pure functions of their arguments.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -40,8 +41,18 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - first
 
 
+def _freed() -> None:
+    """Gives unused memory back to the machine: Python workers are kept for later stages, and with them what they once held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def chunked(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes of text, but one row at least."""
+    _freed()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -52,6 +63,7 @@ def chunked(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    _freed()
 
 
 def text_lengths(texts: pa.Array) -> np.ndarray:

@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quern.llm.common import chunked, hash_spans, join_hash, run_hash, text_buffer, text_column, word_spans
 
 REFERENCE_ROWS = 3000
-#: Texts in one block of cosine products.
-BLOCK = 512
+#: Texts in one block of cosine products; bytes of text whose terms are counted at once.
+BLOCK, TEXT_BYTES = 512, 1 << 20
 
 _MARKS = b".,!%&*$#|-\"'()@:;"
 CLASSES = 50
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, reference_rows: int = REFERENCE_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_hash"))
 
     def run(batches):
-        for batch in chunked(batches):
+        for batch in chunked(batches, limit=TEXT_BYTES):
             terms = term_matrix(text_column(batch, "text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_label", "_hash")] + [pa.array([t.tobytes() for t in terms], pa.binary())], ["_id", "_label", "_hash", "terms"])
 
@@ -193,7 +193,7 @@ def score(docs: DataFrame, space: Space, neighbours: int = 15, power: int = 8) -
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches):
-        for batch in chunked(batches):
+        for batch in chunked(batches, limit=TEXT_BYTES):
             got = shared.value.score(term_matrix(text_column(batch, "text")), neighbours, power)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(got)], ["doc_id", "score"])
 
@@ -212,7 +212,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(_remainder(F.col("doc_id"), folds) != held_out)))
 
     def run(batches):
-        for batch in chunked(batches):
+        for batch in chunked(batches, limit=TEXT_BYTES):
             good = shared.value.score(term_matrix(text_column(batch, "text")), 15, 8) >= threshold
             yield batch.filter(pa.array(good))
 
