@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from quern.catalog.base import ORACLE_SQL, QUERIES
-from quern.catalog import etl, media, news, search, texts  # noqa: F401  they register queries
+from quern.catalog import etl, media, news, policies, search, texts  # noqa: F401  they register queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -45,13 +45,13 @@ def section_pages(spark, sf_dir):
     return W.pages(docs(spark, sf_dir).select("sourceId", "language", "id", "date"), ["sourceId", "language"], [F.desc("date"), F.col("id")]).drop("date")
 
 
-@query("category_page_rows", f"""WITH {DOCS}, p AS (SELECT language, sourceId, id, CAST(ceil(row_number() OVER (PARTITION BY sourceId, language ORDER BY date DESC, id) / 5.0) AS INTEGER) AS page FROM docs),
-g AS (SELECT sourceId, language, page, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT DISTINCT d.sourceId, l.language FROM docs d, (SELECT unnest(['en', 'fr', 'xx']) AS language) l)
-SELECT sourceId, language, coalesce(page, 1) AS page, coalesce(n, 0) AS n FROM s LEFT JOIN g USING (sourceId, language)""")
+@query("category_page_rows", f"""WITH {DOCS}, p AS (SELECT language, sourceId, id, row_number() OVER (PARTITION BY sourceId, language ORDER BY date DESC, id) AS k, CAST(ceil(row_number() OVER (PARTITION BY sourceId, language ORDER BY date DESC, id) / 5.0) AS INTEGER) AS page FROM docs),
+g AS (SELECT sourceId, language, page, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS items FROM p GROUP BY ALL), s AS (SELECT DISTINCT d.sourceId, l.language FROM docs d, (SELECT unnest(['en', 'fr', 'xx']) AS language) l)
+SELECT sourceId, language, coalesce(page, 1) AS page, coalesce(n, 0) AS n, coalesce(items, '') AS items FROM s LEFT JOIN g USING (sourceId, language)""")
 def category_page_rows(spark, sf_dir):
     d = docs(spark, sf_dir).select("sourceId", "language", "id", "date", F.col("id").cast("string").alias("item"))
     sections = d.select("sourceId").distinct().select("sourceId", F.explode(F.array(F.lit("en"), F.lit("fr"), F.lit("xx"))).alias("language"))
-    return K.category_pages(d, sections, ["sourceId", "language"], [F.desc("date"), F.col("id")], "item").drop("items")
+    return K.category_pages(d, sections, ["sourceId", "language"], [F.desc("date"), F.col("id")], "item")
 
 
 @query("round_robin", f"WITH {DOCS} SELECT id, CAST(turn AS INTEGER) AS turn FROM (SELECT id, sourceId, row_number() OVER (PARTITION BY sourceId ORDER BY date DESC, id) AS turn FROM docs) ORDER BY turn, sourceId LIMIT 48")

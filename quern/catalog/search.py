@@ -82,7 +82,7 @@ def _filters(f: Filters, with_sources: bool = True) -> str:
     parts += [inside("sourceId", f.sources)] if f.sources and with_sources else []
     parts += [f"date >= {_q(f.date_from)}"] if f.date_from else []
     parts += [f"date <= {_q(f.date_to)}"] if f.date_to else []
-    parts += [f"mediaType = {_q(f.tab)}"] if f.tab != "all" else []
+    parts += [inside("mediaType", {"video": ("video", "broadcast")}.get(f.tab, (f.tab,)))] if f.tab != "all" else []
     return " AND ".join(parts)
 
 

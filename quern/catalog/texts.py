@@ -16,23 +16,22 @@ def text_compact(spark, sf_dir):
     return docs(spark, sf_dir).select("id", t["compactLower"].alias("compact"), t["lower"].alias("simplified"))
 
 
-@query("text_width", "SELECT doc_id AS id, translate(translate(left(text, 60), 'abcdefgh', 'ａｂｃｄｅｆｇｈ'), 'ａｂｃｄｅｆｇｈ', 'abcdefgh') AS plain FROM documents")
+@query("text_width", "SELECT doc_id AS id, translate(translate(text, 'abcdefgh', 'ａｂｃｄｅｆｇｈ'), 'ａｂｃｄｅｆｇｈ', 'abcdefgh') AS plain FROM documents")
 def text_width(spark, sf_dir):
-    wide = F.translate(F.left("text", F.lit(60)), "abcdefgh", "ａｂｃｄｅｆｇｈ")
+    wide = F.translate("text", "abcdefgh", "ａｂｃｄｅｆｇｈ")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.width(wide).alias("plain"))
 
 
-@query("text_slug", "SELECT doc_id AS id, regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("text_slug", "SELECT doc_id AS id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def text_slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.slug(F.left("text", F.lit(80))).alias("slug"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.slug(F.col("text")).alias("slug"))
 
 
-@query("text_ngrams", f"""WITH {DOCS}, t AS (SELECT id, left({_simple('title')}, 60) AS s FROM docs),
+@query("text_ngrams", f"""WITH {DOCS}, t AS (SELECT id, {_simple('title')} AS s FROM docs),
 g AS (SELECT id, [substr(s, k, n) FOR k IN generate_series(1, length(s) - n + 1)] AS a, n FROM t, (SELECT unnest([2, 3, 4]) AS n))
 SELECT id, array_to_string(flatten(list(a ORDER BY n))[1:240], ' ') AS grams FROM g GROUP BY id""")
 def text_ngrams(spark, sf_dir):
-    s = F.left(T.token(F.col("title"))["lower"], F.lit(60))
-    return docs(spark, sf_dir).select("id", F.array_join(T.ngrams(s), " ").alias("grams"))
+    return docs(spark, sf_dir).select("id", F.array_join(T.ngrams(T.token(F.col("title"))["lower"]), " ").alias("grams"))
 
 
 @query("text_jamo", "SELECT doc_id AS id, 'ㄱㅏㄴㅏx' || CAST(doc_id AS VARCHAR) || 'ㄷㅏㄺ' AS jamo FROM documents")
@@ -54,10 +53,10 @@ def text_split_alias(spark, sf_dir):
     return kept.select(F.col("doc_id").alias("id"), F.array_join(T.split_aliases(F.concat(word, F.lit(" / "), F.col("lang"), F.lit("/z"))), "|").alias("parts"))
 
 
-@query("text_dateline_strip", f"WITH {DOCS} SELECT id, trim(regexp_replace(left(title, 50), '[ \\t\\n\\r\\f\\x{{000B}}\\x{{00A0}}]+', ' ', 'g')) || ' tail' AS plain FROM docs WHERE trim(regexp_replace(left(title, 50), '[ \\t\\n\\r\\f]+', ' ', 'g')) <> ''")
+@query("text_dateline_strip", f"WITH {DOCS} SELECT id, trim(regexp_replace(title, '[ \\t\\n\\r\\f\\x{{000B}}\\x{{00A0}}]+', ' ', 'g')) || ' tail' AS plain FROM docs WHERE trim(regexp_replace(title, '[ \\t\\n\\r\\f]+', ' ', 'g')) <> ''")
 def text_dateline_strip(spark, sf_dir):
-    kept = docs(spark, sf_dir).where(T.squeezed(F.left("title", F.lit(50))) != "")
-    return kept.select("id", T.without_dateline(F.concat(F.left("title", F.lit(50)), F.lit(" (Geneva January 5 Wire) tail"))).alias("plain"))
+    kept = docs(spark, sf_dir).where(T.squeezed(F.col("title")) != "")
+    return kept.select("id", T.without_dateline(F.concat(F.col("title"), F.lit(" (Geneva January 5 Wire) tail"))).alias("plain"))
 
 
 @query("text_markdown_clean", "SELECT doc_id AS id, 'Head ' || lang || ' text bold' AS plain FROM documents")
@@ -66,9 +65,9 @@ def text_markdown_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.markdown_plain(md).alias("plain"))
 
 
-@query("text_html_escape", """SELECT doc_id AS id, replace(replace(replace(replace(replace(left(text, 100), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM documents""")
+@query("text_html_escape", """SELECT doc_id AS id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM documents""")
 def text_html_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.html_escape(F.left("text", F.lit(100))).alias("html"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.html_escape(F.col("text")).alias("html"))
 
 
 @query("text_paragraphs", "SELECT doc_id AS id, CAST(len(list_filter(string_split_regex(text, '\\n+'), lambda x: trim(x) <> '')) AS INTEGER) AS n FROM documents")
@@ -93,9 +92,9 @@ def line_dedupe(spark, sf_dir):
     return W.without_repeated_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text")
 
 
-@query("lang_infer", "SELECT page_id, CASE WHEN regexp_extract(url, '^[a-z]+://[^/]+/(ko|en|ja|zh|ru|es|fr|de|ar)([/?#]|$)', 1) <> '' THEN regexp_extract(url, '^[a-z]+://[^/]+/(ko|en|ja|zh|ru|es|fr|de|ar)([/?#]|$)', 1) WHEN regexp_matches(left(html, 300), '[A-Za-z]{3}') THEN 'en' ELSE 'ko' END AS language FROM pages")
+@query("lang_infer", "SELECT page_id, CASE WHEN regexp_extract(url, '^[a-z]+://[^/]+/(ko|en|ja|zh|ru|es|fr|de|ar)([/?#]|$)', 1) <> '' THEN regexp_extract(url, '^[a-z]+://[^/]+/(ko|en|ja|zh|ru|es|fr|de|ar)([/?#]|$)', 1) WHEN regexp_matches(html, '[A-Za-z]{3}') THEN 'en' ELSE 'ko' END AS language FROM pages")
 def lang_infer(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.language(F.col("url"), F.left("html", F.lit(300))).alias("language"))
+    return table(spark, sf_dir, "pages").select("page_id", T.language(F.col("url"), F.col("html")).alias("language"))
 
 
 @query("media_infer", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'image' WHEN page_id % 4 = 2 THEN 'video' ELSE 'article' END AS media FROM pages")
@@ -141,9 +140,9 @@ def sha_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), urls.crawl_id(u).alias("crawl"), urls.news_id(u).alias("news"), urls.pair_hash(u, F.col("lang")).alias("pair"))
 
 
-@query("base64_token", "SELECT doc_id AS id, regexp_replace(translate(to_base64(encode(left(text, 30))), '+/', '-_'), '=+$', '') AS token FROM documents")
+@query("base64_token", "SELECT doc_id AS id, regexp_replace(translate(to_base64(encode(text)), '+/', '-_'), '=+$', '') AS token FROM documents")
 def base64_token(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), urls.base64url(F.left("text", F.lit(30))).alias("token"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), urls.base64url(F.col("text")).alias("token"))
 
 
 @query("hmac_ids")
@@ -193,7 +192,7 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.key")).cast("long").alias("k"))
 
 
-@query("document_normalize", "SELECT CAST(doc_id AS VARCHAR) AS id, left(text, 20) AS title, 'archive' AS sourceType, 'article' AS mediaType, coalesce(lang, 'ko') AS language, source AS displaySourceId, '' AS url FROM documents")
+@query("document_normalize", "SELECT CAST(doc_id AS VARCHAR) AS id, text AS title, 'archive' AS sourceType, 'article' AS mediaType, coalesce(lang, 'ko') AS language, source AS displaySourceId, '' AS url FROM documents")
 def document_normalize(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("title"), F.col("lang").alias("language"), F.col("source").alias("sourceId"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("lang").alias("language"), F.col("source").alias("sourceId"))
     return schema.normalized(rows).select("id", "title", "sourceType", "mediaType", "language", "displaySourceId", "url")

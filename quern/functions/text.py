@@ -19,14 +19,23 @@ def width(c: Column) -> Column:
     return F.translate(c, _WIDE, _PLAIN)
 
 
+#: The characters of SPACE, one by one.
+_SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def compact(c: Column) -> Column:
-    """Plain width, without white space."""
-    return F.regexp_replace(width(c), SPACE + "+", "")
+    """Plain width, without white space: characters beyond the second list are left out."""
+    return F.translate(c, _WIDE[:-1] + _SPACES, _PLAIN[:-1])
+
+
+def unmarked(c: Column) -> Column:
+    """Without punctuation and symbols."""
+    return F.regexp_replace(c, "[\\p{P}\\p{S}]+", "")
 
 
 def simplified(c: Column) -> Column:
     """Compact, without punctuation and symbols."""
-    return F.regexp_replace(compact(c), "[\\p{P}\\p{S}]+", "")
+    return unmarked(compact(c))
 
 
 def token(c: Column) -> Column:

@@ -12,8 +12,9 @@ def coverage(df: DataFrame, key: str, counters: dict[str, Column]) -> DataFrame:
 
 def failures(df: DataFrame, a: str, b: str, sample: str) -> DataFrame:
     """Failures by each of two keys alone: count, distinct others, least sample."""
-    out = df.groupingSets([[a], [b]], F.col(a), F.col(b)).agg(F.grouping(a).cast("int").alias("by_b"), F.count("*").alias("n"), F.min(sample).alias("sample"))
-    return out
+    kept = df.withColumns({"_a": F.col(a), "_b": F.col(b)})
+    out = kept.groupingSets([[a], [b]], F.col(a), F.col(b)).agg(F.grouping(a).cast("int").alias("by_b"), F.count("*").alias("n"), F.count_distinct("_a").alias("_as"), F.count_distinct("_b").alias("_bs"), F.min(sample).alias("sample"))
+    return out.select(a, b, "by_b", "n", F.when(F.col("by_b") == 0, F.col("_bs")).otherwise(F.col("_as")).alias("others"), "sample")
 
 
 def with_zeros(counts: DataFrame, keys: DataFrame, name: str = "n") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions import text as T
@@ -14,9 +16,10 @@ STORIES = ("article", "pdf", "broadcast")
 
 def scored(docs: DataFrame, q: Prepared) -> DataFrame:
     """Documents that reach the least score, with baseScore and the boosted score; nothing is filtered by structure yet."""
-    out = C.with_fields(docs).withColumn("baseScore", C.base_score(q).cast("int")).where(F.col("baseScore") >= C.MINIMUM)
+    fields = C.needed(q)
+    out = C.with_fields(docs, fields).withColumn("baseScore", C.base_score(q).cast("int")).where(F.col("baseScore") >= C.MINIMUM)
     out = out.withColumn("score", C.boosted(F.col("baseScore"), q.filters.tab).cast("int"))
-    return out.drop("_title", "_snippet", "_body", "_sourceName", "_aliases", "_urls")
+    return out.drop(*fields)
 
 
 def unscored(docs: DataFrame) -> DataFrame:
@@ -47,13 +50,14 @@ def collapsed(docs: DataFrame, ordering: list[Column], composed: bool = True) ->
 
 
 def facets(docs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Counts by source; with sources, names and catalogue order (unknown ones last, under their id)."""
+    """Counts by source; with sources, names and catalogue order (unknown ones last, under their id), the largest first,
+    then by catalogue order and name."""
     out = docs.groupBy("sourceId").agg(F.count("*").alias("n"))
     if sources is None:
         return out
     known = sources.select(F.col("id").alias("sourceId"), "name", "place")
     size = F.lit(None).cast("int")
-    return out.join(known, "sourceId", "left").select("sourceId", F.coalesce("name", "sourceId").alias("name"), F.coalesce("place", size).alias("place"), "n")
+    return out.join(known, "sourceId", "left").select("sourceId", F.coalesce("name", "sourceId").alias("name"), F.coalesce("place", size).alias("place"), "n").orderBy(F.desc("n"), F.col("place").asc_nulls_last(), "name", "sourceId")
 
 
 def merge_facets(*parts: DataFrame) -> DataFrame:
@@ -69,6 +73,20 @@ def page(docs: DataFrame, q: Prepared, by_text: bool = True) -> DataFrame:
     return docs.orderBy(*order(q, by_text)).offset(q.filters.offset).limit(q.filters.limit)
 
 
+def clamped(q: Prepared, total: int) -> Prepared:
+    """The query at the last page that has rows, where its offset lies beyond all of them."""
+    size = max(1, q.filters.limit)
+    last = max(0, (total - 1) // size) * size
+    return replace(q, filters=replace(q.filters, offset=max(0, min(q.filters.offset, last))))
+
+
+def promoted(docs: DataFrame, source: str) -> DataFrame:
+    """Documents of an exactly named source gain a little and come first; their own score stays beside it."""
+    own = F.col("sourceId") == source
+    out = docs.withColumns({"backendScore": F.when(own, F.col("score")), "score": F.when(own, F.col("score") + C.PROMOTION).otherwise(F.col("score"))})
+    return out.withColumn("promoted", own).orderBy(F.desc("promoted"), F.desc("score"), "id")
+
+
 def groups(results: DataFrame, latest: bool = False) -> DataFrame:
     """A page's results by source: size, best score (0 at least), latest day, members in order."""
     members = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id"))), lambda m: m["id"])
@@ -80,7 +98,7 @@ def search(docs: DataFrame, q: Prepared) -> DataFrame:
     """The whole read path but paging: scan, collapse, filters."""
     by_text = bool(q.branches)
     found = scored(docs, q) if by_text else unscored(docs)
-    return collapsed(found, order(q, by_text)).where(C.predicate(q.filters))
+    return collapsed(found, order(q, by_text)).where(C.predicate(q.filters, columns=tuple(docs.columns)))
 
 
 def excerpt(snippet: Column, term: str, size: int = 190) -> Column:

@@ -11,21 +11,52 @@ from quern.functions import text as T
 from quern.plans.language import Branch, Filters, Prepared, Term
 
 # Scores of fields (exact, contained), boosts and orders of media types, least score.
-SCORES = {"title": (1000, 780), "snippet": (0, 620), "body": (0, 520), "alias": (540, 420), "sourceName": (920, 120), "url": (0, 360)}
+SCORES = {"title": (1000, 780), "snippet": (0, 620), "body": (0, 520), "alias": (540, 420), "sourceName": (920, 120), "displaySourceName": (920, 120), "url": (0, 360)}
+DATELINE = 180
+#: Media types of each tab, and what an exactly named source's documents gain.
+TABS = {"image": ("image",), "pdf": ("pdf",), "article": ("article",), "video": ("video", "broadcast")}
+PROMOTION = 2
 BOOSTS = {"article": 260, "pdf": 180, "broadcast": 120, "image": 0, "video": 0}
 PRIORITY = {"article": 1, "pdf": 2, "image": 3, "video": 4, "broadcast": 5}
 MINIMUM = 100
+#: Texts that a stored search result brings with it.
+STORED = ("searchSnippet", "searchBody", "previewText")
 URLS = ("url", "archiveUrl", "cachedUrl", "thumbnailUrl", "cachedThumbnailUrl")
 
 
-def with_fields(docs):
-    """Documents with their comparable forms, computed once: title, snippet and body (without datelines, focused), aliases, source name, URLs."""
+def needed(q: Prepared) -> set[str]:
+    """The forms that a query's score and exclusions read."""
+    out: set[str] = set()
+    e = q.excluded
+    if e.generic or any(b.terms or b.phrases or b.groups for b in q.branches):
+        out |= {"_title", "_snippet", "_dateline", "_body", "_sourceName", "_displaySourceName", "_aliases"}
+    if e.title or any(b.title for b in q.branches):
+        out.add("_title")
+    if e.text or any(b.text for b in q.branches):
+        out |= {"_title", "_snippet", "_dateline", "_body", *(f"_{c}" for c in STORED)}
+    if e.url or any(b.url for b in q.branches):
+        out.add("_urls")
+    return out or {"_title"}
+
+
+def with_fields(docs, fields: set[str] | None = None):
+    """Documents with their comparable forms, computed once: title, snippet and body (without datelines, focused), aliases,
+    source names, URLs, and the texts of stored results.  The forms come out of a generator of one row: filters and
+    projections above it can't be pushed below, where each mention would compute the form again."""
     have = set(docs.columns)
-    fields = {"_title": F.col("title"), "_snippet": T.without_dateline(F.col("snippet")), "_body": T.focused(F.col("body")), "_sourceName": F.col("sourceName")}
-    docs = docs.withColumns({k: T.token(F.coalesce(c, F.lit(""))) for k, c in fields.items()})
-    aliases = F.transform(F.col("aliases"), T.token) if "aliases" in have else F.array().cast("array<struct<lower:string,compactLower:string>>")
-    urls = F.array(*(T.token(F.coalesce(F.col(u), F.lit(""))) for u in URLS if u in have))
-    return docs.withColumns({"_aliases": aliases, "_urls": urls})
+    texts = {f"_{c}": F.col(c) for c in ("title", "sourceName", "displaySourceName", *STORED) if c in have}
+    texts |= {"_snippet": T.without_dateline(F.col("snippet")), "_dateline": F.col("snippet"), "_body": T.focused(F.col("body"))}
+    wanted = [k for k in texts if fields is None or k in fields]
+    # Compact forms first, in a projection of their own: both forms of a field come from them.
+    docs = docs.select("*", *(F.lower(T.compact(F.coalesce(texts[k], F.lit("")))).alias(f"_tight{k}") for k in wanted))
+    own = lambda c: T.token(F.coalesce(F.col(c), F.lit("")))
+    none = F.struct(F.lit("").alias("lower"), F.lit("").alias("compactLower"))
+    forms = {k: F.struct(T.unmarked(F.col(f"_tight{k}")).alias("lower"), F.col(f"_tight{k}").alias("compactLower")) for k in wanted}
+    forms |= {f"_{c}": none for c in ("title", "sourceName", "displaySourceName", *STORED) if c not in have}
+    forms["_aliases"] = F.transform(F.col("aliases"), T.token) if "aliases" in have else F.array().cast("array<struct<lower:string,compactLower:string>>")
+    forms["_urls"] = F.array(*(own(u) for u in URLS if u in have))
+    out = docs.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in forms.items() if fields is None or k in fields)))))
+    return out.drop(*(f"_tight{k}" for k in wanted))
 
 
 def _contains(field: Column, term: Term) -> Column:
@@ -43,8 +74,9 @@ def field_score(field: Column, term: Term, name: str) -> Column:
 
 def _fields(term: Term) -> Column:
     """The best field and its name: struct(value, place, reason); the first of equals."""
+    snippet = F.greatest(field_score(F.col("_snippet"), term, "snippet"), F.when(_contains(F.col("_dateline"), term), DATELINE).otherwise(0))
     alias = F.coalesce(F.array_max(F.transform("_aliases", lambda a: field_score(a, term, "alias"))), F.lit(0))
-    scores = [("title", field_score(F.col("_title"), term, "title")), ("snippet", field_score(F.col("_snippet"), term, "snippet")), ("body", field_score(F.col("_body"), term, "body")), ("alias", alias), ("sourceName", field_score(F.col("_sourceName"), term, "sourceName"))]
+    scores = [("title", field_score(F.col("_title"), term, "title")), ("snippet", snippet), ("body", field_score(F.col("_body"), term, "body")), ("alias", alias), *((n, field_score(F.col(f"_{n}"), term, n)) for n in ("sourceName", "displaySourceName"))]
     return F.array_max(F.array(*(F.struct(s.alias("value"), F.lit(-k).alias("place"), F.lit(n).alias("reason")) for k, (n, s) in enumerate(scores))))
 
 
@@ -67,7 +99,7 @@ def _all_positive(values: list[Column], then: Column) -> Column:
 def branch_score(b: Branch) -> Column:
     """Requirements first (URL, title, text), then phrases, then groups of terms, else the best field of any term."""
     need = [_url(t) > 0 for t in b.url] + [field_score(F.col("_title"), t, "title") > 0 for t in b.title]
-    need += [_contains(F.col("_snippet"), t) | _contains(F.col("_body"), t) for t in b.text]
+    need += [reduce(or_, (_contains(F.col(f), t) for f in ("_snippet", "_body", *(f"_{c}" for c in STORED)))) for t in b.text]
     if b.url and not b.terms:
         scores = [_url(t) for t in b.url]
         value = _all_positive(scores, _rounded_mean(scores))
@@ -98,7 +130,7 @@ def base_score(q: Prepared) -> Column:
 def excluded(q: Prepared) -> Column | None:
     """Whether any exclusion of the query matches."""
     e = q.excluded
-    parts = [_contains(F.col(f), t) for t in e.generic for f in ("_title", "_snippet", "_body", "_sourceName")]
+    parts = [_contains(F.col(f), t) for t in e.generic for f in ("_title", "_snippet", "_body", "_sourceName", "_displaySourceName")]
     parts += [_alias_has(t) for t in e.generic]
     parts += [_contains(F.col("_title"), t) for t in e.title]
     parts += [_contains(F.col(f), t) for t in e.text for f in ("_title", "_snippet", "_body")]
@@ -112,8 +144,9 @@ def reason(q: Prepared) -> Column:
     return _fields(terms[0])["reason"] if terms else F.lit("")
 
 
-def predicate(f: Filters, sources: bool = True) -> Column:
-    """Structured filters.  An empty date fails a lower bound and passes an upper one."""
+def predicate(f: Filters, sources: bool = True, columns: tuple[str, ...] = ()) -> Column:
+    """Structured filters.  An empty date fails a lower bound and passes an upper one; a document that names its tabs
+    (searchTabs, where `columns` has it) is on these only."""
     parts = [F.lit(True)]
     for name, values in (("mediaType", f.media), ("sourceType", f.source_types), ("language", f.languages)):
         if values:
@@ -130,7 +163,9 @@ def predicate(f: Filters, sources: bool = True) -> Column:
     if f.date_to:
         parts.append(F.col("date") <= f.date_to)
     if f.tab != "all":
-        parts.append(F.col("mediaType") == f.tab)
+        parts.append(F.col("mediaType").isin(*TABS.get(f.tab, (f.tab,))))
+        if "searchTabs" in columns:
+            parts.append((F.coalesce(F.size("searchTabs"), F.lit(0)) <= 0) | F.array_contains("searchTabs", f.tab))
     return reduce(and_, parts)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import urls
 from quern.operators.dedupe import differences
@@ -35,22 +37,45 @@ def lookup(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
 
 
 def category_pages(df: DataFrame, sections: DataFrame, keys: list[str], ordering: list[Column], item: str, size: int = 5) -> DataFrame:
-    """A row for each page of each section, one empty page where a section has no rows."""
-    paged = pages(df, keys, ordering, size).groupBy(*keys, "page").agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("items"), F.count("*").alias("n"))
+    """A row for each page of each section, its items in the page's order; one empty page where a section has no rows."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)).alias("_place")
+    paged = pages(df, keys, ordering, size).select("*", place).groupBy(*keys, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", F.col(item).cast("string").alias("_item")))), lambda x: x["_item"]), ",").alias("items"), F.count("*").alias("n"))
     return sections.join(paged, keys, "left").select(*keys, F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes a version beside the others and names it current last: readers see one whole version or the one before."""
+    """Writes a version beside the others and names it current last, in a file of its own that appears by one rename:
+    readers see one whole version or the one before, and never none."""
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/version={version}"
     df.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(version,)], "current string").coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/current")
+    names, system = _pointers(spark, root)
+    number = max(names, default=0) + 1
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = f"{root.rstrip('/')}/current"
+    system.mkdirs(kind(folder))
+    out = system.create(kind(f"{folder}/.{number}-{uuid.uuid4().hex}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    written = next(f.getPath() for f in system.listStatus(kind(folder)) if f.getPath().getName().startswith(f".{number}-"))
+    if not system.rename(written, kind(f"{folder}/{number:012d}")):
+        raise RuntimeError("another publication got this number")
     return path
 
 
+def _pointers(spark: SparkSession, root: str):
+    """Numbers of the publications under a root, and its file system."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = kind(f"{root.rstrip('/')}/current")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return [int(n) for n in names if n.isdigit()], system
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
-    current = spark.read.schema("current string").json(f"{root.rstrip('/')}/current").first()[0]
+    """The version that the latest publication names."""
+    last = max(_pointers(spark, root)[0])
+    current = spark.read.text(f"{root.rstrip('/')}/current/{last:012d}", wholetext=True).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/version={current}")
 
 
