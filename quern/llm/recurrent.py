@@ -9,7 +9,7 @@ their own, and the forms, within which a word's share follows its corpus count (
 and half for one unknown word of the form).
 
 The weights are fitted by truncated backpropagation in numpy (segments of `SEGMENT` tokens, the state
-carried over from a document's first token to its end): first on a bounded seed of documents, from which
+carried over `CARRIED` windows of a document, so that few long ones don't hold up the rest): first on a bounded seed of documents, from which
 all start, then in one pass over all windows of every training document, in shards whose weights are
 averaged by windows, in sums of sums.  Shards follow from the documents' contents and the number of training
 tokens, never from the cluster's settings.  A text's score is the log10 probability of all its tokens, the
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import chunked, hash_spans, text_buffer, text_column, word_spans
+from quern.llm.common import chunked, expand, hash_spans, text_buffer, text_column, word_spans
 from quern.llm.substrings import _size
 from quern.llm.tables import written
 
@@ -40,6 +40,8 @@ HIDDEN, SEGMENT, WINDOW = 32, 32, 64
 #: Documents of the seed, and windows of each of them that it takes.
 SEED_ROWS, SEED_WINDOWS, SEED_EPOCHS = 48, 64, 6
 RATE, REFINE_RATE, LANES = 0.01, 0.002, 256
+#: Windows over which training carries the state; scoring carries it over the whole text.
+CARRIED = 64
 CHUNK_TEXT, BUCKET_TEXT = 32 << 20, 512 << 20
 #: Training tokens of a shard; the fewest shards; shards (or sums) that one task sums, and the sums that the driver gets.
 SHARD_TOKENS, SHARDS, FAN_IN, SUMS = 4 << 20, 8, 32, 8
@@ -374,11 +376,10 @@ def windows_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _read(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' windows, and which of them begin without a state: a document's or a row's first."""
+    """The rows' windows, and which of them begin without a state: a document's first, and every CARRIED-th after it."""
     windows = np.frombuffer(b"".join(rows), np.int16).reshape(-1, WINDOW + 1)
-    fresh = windows[:, 0] == 0
-    fresh[np.cumsum([0, *(len(r) // (2 * WINDOW + 2) for r in rows[:-1])])] = True
-    return windows, fresh
+    sizes = np.array([len(r) // (2 * WINDOW + 2) for r in rows])
+    return windows, expand(sizes)[1] % CARRIED == 0
 
 
 def _refined(shared):
