@@ -73,6 +73,20 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, kind, counts + 1
 
 
+def _chosen(logits: np.ndarray, choice: np.ndarray, back: bool) -> np.ndarray:
+    """Log probabilities of each column's choice; with back, logits become their gradients, else they are lost."""
+    columns = np.arange(len(choice))
+    logits -= logits.max(axis=0)
+    own = logits[choice, columns]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    own -= np.log(total)
+    if back:
+        logits *= -1 / total
+        logits[choice, columns] += 1
+    return own
+
+
 class Network:
     """Weights; words 0 .. size-1 are the vocabulary (0: the end), classes of CLASS words, then forms."""
 
@@ -122,40 +136,39 @@ class Network:
         return n + zr[:, :HIDDEN] * (h - n)
 
     def output(self, states: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural logarithms of P(class | state), times P(word | class) in the vocabulary; with grad, gradients of their sum."""
-        w, cls, rows = self.w, self.classes(ids), np.arange(len(ids))
-        logits = states @ w["c"] + w["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[rows, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1, keepdims=True)
-        out = own - np.log(total[:, 0])
+        """Natural logarithms of P(class | state), times P(word | class) in the vocabulary; with grad, gradients of their sum.
+
+        Logits lie choices x rows, so that sums over choices add whole rows; a last state of 1 carries the biases."""
+        w, cls, kind = self.w, self.classes(ids), states.dtype
+        s = np.concatenate([states, np.ones((len(ids), 1), kind)], axis=1)
+        logits = np.concatenate([w["c"], w["cb"][None]]).T @ s.T
+        out = _chosen(logits, cls, grad is not None)
         back = None
         if grad is not None:
-            d = -logits / total
-            d[rows, cls] += 1
-            grad["c"] += states.T @ d
-            grad["cb"] += d.sum(axis=0)
-            back = d @ w["c"].T
-        order = np.argsort(cls, kind="stable")
+            sums = logits @ s
+            grad["c"] += sums[:, :-1].T
+            grad["cb"] += sums[:, -1]
+            back = logits.T @ w["c"].T
+        # The last class is filled up with words of no probability.
+        words = np.zeros((self.groups * CLASS, HIDDEN + 1), kind)
+        words[: self.size, :-1], words[: self.size, -1], words[self.size :, -1] = w["v"], w["vb"], -1e30
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.groups + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            some = order[edges[c] : edges[c + 1]]
-            lo, hi = c * CLASS, min((c + 1) * CLASS, self.size)
-            s = states[some]
-            logits = s @ w["v"][lo:hi].T + w["vb"][lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            k = np.arange(len(some))
-            own = logits[k, ids[some] - lo]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1, keepdims=True)
-            out[some] += own - np.log(total[:, 0])
-            if grad is not None:
-                d = -logits / total
-                d[k, ids[some] - lo] += 1
-                grad["v"][lo:hi] += d.T @ s
-                grad["vb"][lo:hi] += d.sum(axis=0)
-                back[some] += d @ w["v"][lo:hi]
+        order = order[: edges[-1]]
+        s = s[order]
+        logits = np.empty((CLASS, len(order)), kind)
+        spans = [(c * CLASS, (c + 1) * CLASS, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges)).tolist()]
+        for lo, hi, a, b in spans:
+            np.matmul(words[lo:hi], s[a:b].T, out=logits[:, a:b])
+        out[order] += _chosen(logits, ids[order] % CLASS, grad is not None)
+        if grad is not None:
+            sums, inner = np.zeros_like(words), np.empty((len(order), HIDDEN), kind)
+            for lo, hi, a, b in spans:
+                np.matmul(logits[:, a:b], s[a:b], out=sums[lo:hi])
+                np.matmul(logits[:, a:b].T, words[lo:hi, :-1], out=inner[a:b])
+            grad["v"] += sums[: self.size, :-1]
+            grad["vb"] += sums[: self.size, -1]
+            back[order] += inner
         return out, back
 
     def learn(self, windows: np.ndarray, fresh: np.ndarray, rate: float, epochs: int, lanes: int = LANES) -> None:
@@ -204,24 +217,28 @@ class Network:
     def _segment(self, part: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean log likelihood of part's ids (after the first) from states h, and the last states."""
         w, n, size, hid = self.w, len(part), part.shape[1] - 1, HIDDEN
+        kind = w["x"].dtype
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         used = np.maximum(part[:, :-1].T, 0)
-        gates = w["x"][used]  # of time, text and gate: z and r, then m
-        states, inner = np.empty((size + 1, n, hid), w["x"].dtype), np.empty((size, n, hid), w["x"].dtype)
+        # Of gate (z, r, m), time and text: what one step works on lies together.
+        x, u = (np.ascontiguousarray(w[k].reshape(-1, 3, hid).transpose(1, 0, 2)) for k in "xu")
+        gates = np.take(x, used, axis=1)
+        states, inner = np.empty((size + 1, n, hid), kind), np.empty((size, n, hid), kind)
         states[0] = h
+        a, step = np.empty((3, n, hid), kind), np.empty((n, hid), kind)
         for t in range(size):
-            a, g = states[t] @ w["u"], gates[t]
-            zr, m = g[:, : 2 * hid], g[:, 2 * hid :]
-            zr += a[:, : 2 * hid]
+            np.matmul(states[t], u, out=a)
+            zr, m = gates[:2, t], gates[2, t]
+            zr += a[:2]
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            inner[t] = a[:, 2 * hid :]
-            m += zr[:, hid:] * inner[t]
+            inner[t] = a[2]
+            m += np.multiply(zr[1], a[2], out=step)
             np.tanh(m, out=m)
-            step = states[t] - m
-            step *= zr[:, :hid]
+            np.subtract(states[t], m, out=step)
+            step *= zr[0]
             np.add(step, m, out=states[t + 1])
         wanted = part[:, 1:].T
         live = wanted >= 0
@@ -229,29 +246,37 @@ class Network:
         _, back = self.output(states[1:][live], wanted[live], grad)
         outer = np.zeros_like(inner)
         outer[live] = back
-        z, r, m, before = gates[..., :hid], gates[..., hid : 2 * hid], gates[..., 2 * hid :], states[:-1]
-        to_m, to_z, to_r = (1 - z) * (1 - m * m), (before - m) * z * (1 - z), inner * r * (1 - r)
-        d, down = np.zeros((n, hid), w["x"].dtype), np.ascontiguousarray(w["u"].T)
-        into, middle = np.empty_like(gates), np.empty_like(inner)
+        d, down = np.zeros((n, hid), kind), np.ascontiguousarray(w["u"].T)
+        into, middle = np.empty((size, n, 3 * hid), kind), np.empty_like(inner)
         for t in range(size - 1, -1, -1):
+            z, r, m, row, dm = *gates[:, t], into[t], middle[t]
             d += outer[t]
-            dm, row = np.multiply(d, to_m[t], out=middle[t]), into[t]
-            np.multiply(d, to_z[t], out=row[:, :hid])
-            np.multiply(dm, to_r[t], out=row[:, hid : 2 * hid])
-            np.multiply(dm, r[t], out=row[:, 2 * hid :])
-            d *= z[t]
-            d += row @ down
-        grad["u"] += before.reshape(-1, hid).T @ into.reshape(-1, 3 * hid)
+            keep = np.subtract(1, z, out=step)
+            # m' = 1 - m^2; z' = z (1 - z); r' = r (1 - r)
+            np.multiply(m, m, out=dm)
+            np.subtract(1, dm, out=dm)
+            dm *= keep
+            dm *= d
+            keep *= z
+            keep *= d
+            np.subtract(states[t], m, out=m)
+            np.multiply(keep, m, out=row[:, :hid])
+            through = np.multiply(dm, r, out=m)
+            row[:, 2 * hid :] = through
+            through *= inner[t]
+            np.subtract(1, r, out=r)
+            np.multiply(through, r, out=row[:, hid : 2 * hid])
+            d *= z
+            d += np.matmul(row, down, out=step)
+        grad["u"] += states[:-1].reshape(-1, hid).T @ into.reshape(-1, 3 * hid)
         into[..., 2 * hid :] = middle
-        order = np.argsort(used, axis=None, kind="stable")
-        rows, edges = np.unique(used.ravel()[order], return_index=True)
+        used = used.astype(np.int16).ravel()
+        order = np.argsort(used, kind="stable")
+        rows, edges = np.unique(used[order], return_index=True)
         grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * hid)[order], edges)
-        for g in grad.values():
-            g /= count
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
-        if norm > 1:
-            for g in grad.values():
-                g /= norm
+        for g in grad.values():
+            g *= 1 / max(norm, count)
         return grad, states[-1]
 
     def flat(self) -> np.ndarray:
