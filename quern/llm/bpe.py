@@ -233,13 +233,15 @@ class Bpe:
     def words(self, words: list[str]) -> list[list[int]]:
         """The tokens of distinct words, given in byte symbols with \\0 at the end."""
         out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        sizes, order = sizes[order], order.tolist()
         at = 0
         while at < len(order):
             # Words of like length go together, as many as fit a matrix of fixed size.
-            to = at + 1
-            while to < len(order) and to - at < 20_000 and len(words[order[to]]) <= len(words[order[at]]) + 2 and (to - at) * len(words[order[to]]) < 2_000_000:
-                to += 1
+            near = sizes[at : min(at + 20_000, np.searchsorted(sizes, sizes[at] + 2, "right"))]
+            full = np.flatnonzero(np.arange(len(near)) * near >= 2_000_000)
+            to = at + int(full[0] if len(full) else len(near))
             part = [words[k] for k in order[at:to]]
             for k, tokens in zip(order[at:to], self._some(part), strict=True):
                 out[k] = tokens
@@ -281,15 +283,16 @@ class Bpe:
 
     def learn(self, pieces) -> None:
         """Puts the pieces into the dictionary: ids as text, their number, tokens as text."""
-        cut = {p: self.split(p) for p in pieces}
+        # Most pieces are plain ASCII without special tokens, as in _plain.
+        find = self.pattern.findall
+        cut = {p: [w + "\0" for w in find(p.lower())] if p.isascii() and "<" not in p and p.isprintable() else self.split(p) for p in pieces}
         words = list({w for c in cut.values() for w in c if isinstance(w, str)})
-        known = dict(zip(words, self.words(words), strict=True))
         names = self.names
-        shown = {w: (" ".join(map(str, ids)), len(ids), " ".join([names[i] for i in ids])) for w, ids in known.items()}
+        digits = {i: str(i) for i in names}
+        shown = {w: (" ".join([digits[i] for i in ids]), len(ids), " ".join([names[i] for i in ids])) if ids else None for w, ids in zip(words, self.words(words), strict=True)}
         shown |= {i: (str(i), 1, names[i]) for i in self.special.values()}
         for p, c in cut.items():
-            parts = [shown[w] for w in c]
-            self.pieces[p] = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts]))
+            self.pieces[p] = shown[c[0]] if len(c) == 1 else _joined([shown[w] for w in c])
 
     def pieces_of(self, text: str) -> list[str]:
         if any(c in text for c in _SEPARATORS):
@@ -314,11 +317,7 @@ class Bpe:
             self.pieces.clear()
             new = set().union(*cut)
         self.learn(new)
-        known, out = self.pieces, []
-        for c in cut:
-            found = [x for x in map(known.__getitem__, c) if x[1]]
-            out.append((" ".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])))
-        return out
+        return [_joined(map(self.pieces.__getitem__, c)) or ("", 0, "") for c in cut]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.rendered([text])[0][0].split()]
@@ -328,6 +327,15 @@ class Bpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+def _joined(parts) -> tuple[str, int, str] | None:
+    """Consecutive parts as one; a part without tokens is None."""
+    found = list(filter(None, parts))
+    if not found:
+        return None
+    ids, counts, names = zip(*found, strict=True)
+    return " ".join(ids), sum(counts), " ".join(names)
+
+
 _models: dict[bytes, Bpe] = {}
 
 
