@@ -2,11 +2,12 @@
 
 Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z lowered) and one end per text.  Counts of all training tokens
 of the corpus come first: chunks of documents send their distinct words once to buckets of hashes and
-get the corpus counts back.  The network's vocabulary are the `VOCABULARY` most frequent tokens; all
-others enter and leave it as one of `FORMS` forms (by their letters).  The output is
-P(class | state) * P(word | class): classes are runs of the vocabulary by frequency, with a softmax of
-their own, and the forms, within which a word's share follows its corpus count (half a count added,
-and half for one unknown word of the form).
+get the corpus counts back.  The network's vocabulary are the most frequent tokens, `VOCABULARY` times the
+fourth root of the number of training tokens, so it grows with the corpus; all others enter and leave it as
+one of `FORMS` forms (by their letters).  The output is P(class | state) * P(word | class): classes are runs
+of the vocabulary by frequency, about as many as half a class's words, so the softmax grows by the root of
+the vocabulary only; and the forms, within which a word's share follows its corpus count (half a count
+added, and half for one unknown word of the form).
 
 The weights are fitted by truncated backpropagation in numpy (segments of `SEGMENT` tokens, the state
 carried over `CARRIED` windows of a document, so that few long ones don't hold up the rest): first on a bounded seed of documents, from which
@@ -35,7 +36,8 @@ from quern.llm.common import chunked, expand, hash_spans, text_buffer, text_colu
 from quern.llm.substrings import _size
 from quern.llm.tables import written
 
-VOCABULARY, FORMS, CLASS = 2048, 16, 48
+#: Words of the vocabulary by the fourth root of the number of training tokens; forms of all others.
+VOCABULARY, FORMS = 48, 16
 HIDDEN, SEGMENT, WINDOW = 32, 32, 64
 #: Documents of the seed, and windows of each of them that it takes.
 SEED_ROWS, SEED_WINDOWS, SEED_EPOCHS = 48, 64, 6
@@ -52,6 +54,11 @@ _LOWER[65:91] += 32
 END = np.uint64(0xE4D0F7E37E57AA11)
 
 
+def vocabulary(n: int) -> int:
+    """Words of the vocabulary of a corpus of n training tokens."""
+    return math.ceil(VOCABULARY * n**0.25)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and forms of all texts' tokens, ends included, and the texts' numbers of tokens."""
     data, offsets = text_buffer(texts)
@@ -88,7 +95,7 @@ def _chosen(logits: np.ndarray, choice: np.ndarray, back: bool) -> np.ndarray:
 
 
 class Network:
-    """Weights; words 0 .. size-1 are the vocabulary (0: the end), classes of CLASS words, then forms."""
+    """Weights; words 0 .. size-1 are the vocabulary (0: the end), classes of `width` words, then forms."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray | None = None, forms: np.ndarray | None = None):
         """counts: of the vocabulary's words, forms: tokens of each form; with them the output starts as the corpus's frequencies."""
@@ -97,7 +104,10 @@ class Network:
         self.sorted = hashes[self.order]
         self.bits = np.zeros(1 << 18, bool)
         self.bits[hashes & np.uint64(len(self.bits) - 1)] = True
-        self.groups = -(-self.size // CLASS)
+        self.width = max(1, round(math.sqrt(2 * self.size)))
+        self.groups = -(-self.size // self.width)
+        #: Of ids in windows, -1 included.
+        self.kind = np.int16 if self.size + FORMS < 1 << 15 else np.int32
         rng = np.random.default_rng(7)
         h, k = HIDDEN, self.size
         self.w = {
@@ -106,7 +116,7 @@ class Network:
         }
         if counts is not None:
             self.w["vb"][:] = np.log(counts + 0.5)
-            mass = np.concatenate([np.bincount(np.arange(k) // CLASS, counts, minlength=self.groups), forms])
+            mass = np.concatenate([np.bincount(np.arange(k) // self.width, counts, minlength=self.groups), forms])
             self.w["cb"][:] = np.log((mass + 0.5) / (mass + 0.5).sum())
 
     def ids(self, hashes: np.ndarray, forms: np.ndarray) -> np.ndarray:
@@ -118,7 +128,7 @@ class Network:
         return out
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.size, ids // CLASS, self.groups + ids - self.size)
+        return np.where(ids < self.size, ids // self.width, self.groups + ids - self.size)
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The next states."""
@@ -139,7 +149,7 @@ class Network:
         """Natural logarithms of P(class | state), times P(word | class) in the vocabulary; with grad, gradients of their sum.
 
         Logits lie choices x rows, so that sums over choices add whole rows; a last state of 1 carries the biases."""
-        w, cls, kind = self.w, self.classes(ids), states.dtype
+        w, cls, kind, width = self.w, self.classes(ids), states.dtype, self.width
         s = np.concatenate([states, np.ones((len(ids), 1), kind)], axis=1)
         logits = np.concatenate([w["c"], w["cb"][None]]).T @ s.T
         out = _chosen(logits, cls, grad is not None)
@@ -150,17 +160,17 @@ class Network:
             grad["cb"] += sums[:, -1]
             back = logits.T @ w["c"].T
         # The last class is filled up with words of no probability.
-        words = np.zeros((self.groups * CLASS, HIDDEN + 1), kind)
+        words = np.zeros((self.groups * width, HIDDEN + 1), kind)
         words[: self.size, :-1], words[: self.size, -1], words[self.size :, -1] = w["v"], w["vb"], -1e30
         order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.groups + 1))
         order = order[: edges[-1]]
         s = s[order]
-        logits = np.empty((CLASS, len(order)), kind)
-        spans = [(c * CLASS, (c + 1) * CLASS, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges)).tolist()]
+        logits = np.empty((width, len(order)), kind)
+        spans = [(c * width, (c + 1) * width, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges)).tolist()]
         for lo, hi, a, b in spans:
             np.matmul(words[lo:hi], s[a:b].T, out=logits[:, a:b])
-        out[order] += _chosen(logits, ids[order] % CLASS, grad is not None)
+        out[order] += _chosen(logits, ids[order] % width, grad is not None)
         if grad is not None:
             sums, inner = np.zeros_like(words), np.empty((len(order), HIDDEN), kind)
             for lo, hi, a, b in spans:
@@ -270,7 +280,7 @@ class Network:
             d += np.matmul(row, down, out=step)
         grad["u"] += states[:-1].reshape(-1, hid).T @ into.reshape(-1, 3 * hid)
         into[..., 2 * hid :] = middle
-        used = used.astype(np.int16).ravel()
+        used = used.astype(self.kind).ravel()
         order = np.argsort(used, kind="stable")
         rows, edges = np.unique(used[order], return_index=True)
         grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * hid)[order], edges)
@@ -342,13 +352,14 @@ def _counted(buckets: int):
         found, times, form, bucket = found[order], times[order], forms[first][order].astype(np.uint8), bucket[order]
         names, at = np.unique(bucket, return_index=True)
         ends = np.append(at, len(bucket))[1:]
-        return pa.table({"bucket": pa.array(names.astype(np.int32)), "chunk": pa.array(np.full(len(names), key[0].as_py())), **{n: pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for n, x in (("hashes", found), ("times", times), ("forms", form))}})
+        told = {"bucket": pa.array(names.astype(np.int32)), "chunk": pa.array(np.full(len(names), key[0].as_py())), "tokens": pa.array(np.full(len(names), int(train.sum())))}
+        return pa.table({**told, **{n: pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for n, x in (("hashes", found), ("times", times), ("forms", form))}})
 
     return run
 
 
-def _totals(share: int):
-    """For each chunk its words' corpus counts; and one row (chunk -1) with the bucket's `share` most frequent words and its forms' tokens and words."""
+def _totals(buckets: int):
+    """For each chunk its words' corpus counts; and one row (chunk -1) with the bucket's most frequent words and its forms' tokens and words."""
 
     def run(table):
         chunks = table.column("chunk").to_numpy()
@@ -360,7 +371,10 @@ def _totals(share: int):
         total = np.bincount(number, times, minlength=len(found)).astype(np.int64)
         known, form = total > 0, forms[first]
         sums = [np.bincount(form[known], total[known], minlength=FORMS).astype(np.int64).tolist(), np.bincount(form[known], minlength=FORMS).tolist()]
-        top = np.lexsort((found, -total))[:share]
+        # Hashes deal words evenly, so a bucket has about wanted / buckets of the most frequent; it names four times as many and 32.
+        # Chunks without a word here go uncounted: even were they 255 of 256, the fourth root would leave no fewer than a quarter.
+        wanted = vocabulary(sum(table.column("tokens").to_pylist()))
+        top = np.lexsort((found, -total))[: min(wanted, 4 * wanted // buckets + 32)]
         top = top[total[top] > 0]
         ends = np.cumsum([len(p) for p in parts])
         reply = [total[number[b - len(p) : b]].tobytes() for b, p in zip(ends, parts, strict=True)]
@@ -381,14 +395,14 @@ def _windows(shared):
         network: Network = shared.value
         for batch in chunked(batches):
             hashes, forms, counts = tokens(text_column(batch, "text"))
-            rows = windows_of(network.ids(hashes, forms), counts)
+            rows = windows_of(network.ids(hashes, forms), counts, network.kind)
             ends = np.cumsum(-(-counts // WINDOW))
             yield pa.RecordBatch.from_arrays([pa.array([rows[a:b].tobytes() for a, b in zip(np.append(0, ends), ends, strict=False)], pa.binary())], ["windows"])
 
     return run
 
 
-def windows_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def windows_of(ids: np.ndarray, counts: np.ndarray, kind: type = np.int16) -> np.ndarray:
     """Each document's windows (the token before, 0 at its start, then WINDOW ids, -1 after the end)."""
     number = -(-counts // WINDOW)
     doc = np.repeat(np.arange(len(counts)), number)
@@ -397,13 +411,13 @@ def windows_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     first = np.cumsum(counts) - counts
     out = np.where(at < counts[doc][:, None], ids[np.clip(first[doc][:, None] + at, 0, len(ids) - 1)], -1)
     out[at < 0] = 0
-    return out.astype(np.int16)
+    return out.astype(kind)
 
 
-def _read(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _read(rows: list[bytes], kind: type = np.int16) -> tuple[np.ndarray, np.ndarray]:
     """The rows' windows, and which of them begin without a state: a document's first, and every CARRIED-th after it."""
-    windows = np.frombuffer(b"".join(rows), np.int16).reshape(-1, WINDOW + 1)
-    sizes = np.array([len(r) // (2 * WINDOW + 2) for r in rows])
+    windows = np.frombuffer(b"".join(rows), kind).reshape(-1, WINDOW + 1)
+    sizes = np.array([len(r) // (np.dtype(kind).itemsize * (WINDOW + 1)) for r in rows])
     return windows, expand(sizes)[1] % CARRIED == 0
 
 
@@ -413,7 +427,7 @@ def _refined(shared):
     def run(key, table):
         # A worker keeps its broadcast values: learn on a copy.  The order of rows is that of their contents.
         network: Network = copy.deepcopy(shared.value)
-        windows, fresh = _read(sorted(table.column("windows").to_pylist()))
+        windows, fresh = _read(sorted(table.column("windows").to_pylist()), network.kind)
         network.learn(windows, fresh, REFINE_RATE, 1)
         return pa.table({"shard": pa.array([key[0].as_py()]), "weights": pa.array([network.flat().astype(np.float32).tobytes()], pa.binary()), "n": pa.array([len(windows)], pa.int64())})
 
@@ -454,17 +468,15 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(docs)
     chunks, buckets = max(parts, size // CHUNK_TEXT), max(parts, size // BUCKET_TEXT)
-    # Hashes deal words evenly, so a bucket has about VOCABULARY / buckets of the most frequent; it may name four times as many and 32.
-    share = min(VOCABULARY, 4 * VOCABULARY // buckets + 32)
     docs = docs.withColumn("held_out", _held(folds, held_out))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    sent = dealt.groupBy("chunk").applyInArrow(_counted(buckets), "bucket int, chunk long, hashes binary, times binary, forms binary")
-    told = written(sent.groupBy("bucket").applyInArrow(_totals(share), "chunk long, hashes binary, counts binary, top array<struct<hash:long,count:long,form:int>>, sums array<array<long>>"), "counts")
+    sent = dealt.groupBy("chunk").applyInArrow(_counted(buckets), "bucket int, chunk long, tokens long, hashes binary, times binary, forms binary")
+    told = written(sent.groupBy("bucket").applyInArrow(_totals(buckets), "chunk long, hashes binary, counts binary, top array<struct<hash:long,count:long,form:int>>, sums array<array<long>>"), "counts")
     sums = told.where("sums IS NOT NULL").select(F.posexplode("sums").alias("kind", "s")).select("kind", F.posexplode("s").alias("form", "n")).groupBy("kind", "form").agg(F.sum("n").alias("n")).collect()
     by = {(r["kind"], r["form"]): r["n"] for r in sums}
     n_form, v_form = (np.array([by.get((k, f), 0) for f in range(FORMS)], np.float64) for k in (0, 1))
     n_all, v_all = int(n_form.sum()), int(v_form.sum())
-    top = [tuple(r) for r in told.where("top IS NOT NULL").select(F.explode("top").alias("t")).select("t.hash", "t.count", "t.form").orderBy(F.desc("count"), "hash").limit(VOCABULARY).collect()]
+    top = [tuple(r) for r in told.where("top IS NOT NULL").select(F.explode("top").alias("t")).select("t.hash", "t.count", "t.form").orderBy(F.desc("count"), "hash").limit(vocabulary(n_all)).collect()]
     end = int(END.astype(np.int64)) if END < np.uint64(1 << 63) else int(END) - (1 << 64)
     inner = [t for t in top if t[0] != end]
     for _, c, f in top:
@@ -474,9 +486,9 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     network = Network(np.array([end, *(t[0] for t in inner)], np.int64).view(np.uint64), np.array([ends, *(t[1] for t in inner)], np.float64), np.maximum(n_form, 0))
     spread = np.maximum(n_form, 0) + 0.5 * (np.maximum(v_form, 0) + 1)
     windows = written(docs.where("NOT held_out").mapInArrow(_windows(spark.sparkContext.broadcast(network)), "windows binary"), "windows")
-    seed = [r[0] for r in windows.orderBy(F.xxhash64("windows"), "windows").limit(SEED_ROWS).select(F.substring("windows", 1, SEED_WINDOWS * (WINDOW + 1) * 2)).collect()]
+    seed = [r[0] for r in windows.orderBy(F.xxhash64("windows"), "windows").limit(SEED_ROWS).select(F.substring("windows", 1, SEED_WINDOWS * (WINDOW + 1) * np.dtype(network.kind).itemsize)).collect()]
     if seed:
-        network.learn(*_read([bytes(r) for r in seed]), RATE, SEED_EPOCHS)
+        network.learn(*_read([bytes(r) for r in seed], network.kind), RATE, SEED_EPOCHS)
         shards = max(SHARDS, -(-n_all // SHARD_TOKENS))
         kind = "shard long, weights binary, n long"
         found = windows.withColumn("shard", F.pmod(F.xxhash64("windows"), F.lit(shards))).groupBy("shard").applyInArrow(_refined(spark.sparkContext.broadcast(network)), kind)

@@ -186,6 +186,22 @@ def test_recurrent_counts_and_gain(docs, edges):
     assert recurrent.score(edges).count() == len(EDGES)
 
 
+def test_recurrent_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    assert abs(recurrent.vocabulary(16 * 10**6) - 2 * recurrent.vocabulary(10**6)) <= 1
+    sizes, real, begin = [], recurrent.Network, recurrent.Network.__init__
+    monkeypatch.setattr(real, "__init__", lambda self, hashes, *more: sizes.append(hashes) or begin(self, hashes, *more))
+    for n in (300, 4800):
+        # Word k occurs more often than word k + 1, and texts end: the vocabulary is the end and the first words.
+        rows = [(i, " ".join(f"w{k}" for k in range(i + 1))) for i in range(n) if zlib.crc32(str(i).encode()) % 5 != 1][: n // 10]
+        recurrent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        total = sum(len(t.split()) + 1 for _, t in rows)
+        distinct = max(len(t.split()) for _, t in rows) + 1
+        assert len(sizes[-1]) == min(recurrent.vocabulary(total), distinct) and sizes[-1][0] == recurrent.END
+    monkeypatch.undo()
+    big = real(np.arange(1, 40_000, dtype=np.uint64))
+    assert big.kind is np.int32 and real(np.arange(1, 100, dtype=np.uint64)).kind is np.int16 and big.groups * big.width >= big.size
+
+
 def test_recurrent_gradient():
     rng = np.random.default_rng(1)
     net = recurrent.Network(np.arange(1, 101, dtype=np.uint64))
@@ -206,13 +222,14 @@ def test_recurrent_gradient():
     assert abs((net.output(moved, ids)[0].sum() - net.output(states, ids)[0].sum()) / 1e-5 - back[2, 4]) < 1e-3
 
 
-def test_recurrent_windows_hold_all_tokens():
+@pytest.mark.parametrize("kind, words", [(np.int16, 2000), (np.int32, 90_000)])
+def test_recurrent_windows_hold_all_tokens(kind, words):
     counts = np.array([1, 64, 65, 20_000, 300])
-    ids = np.concatenate([np.append(np.random.default_rng(3).integers(1, 2000, n - 1), 0) for n in counts])
-    windows = recurrent.windows_of(ids, counts)
+    ids = np.concatenate([np.append(np.random.default_rng(3).integers(1, words, n - 1), 0) for n in counts])
+    windows = recurrent.windows_of(ids, counts, kind)
     assert (windows[:, 1:][windows[:, 1:] >= 0] == ids).all()
     ends = np.cumsum(-(-counts // recurrent.WINDOW))
-    again, fresh = recurrent._read([windows[a:b].tobytes() for a, b in zip([0, *ends], ends)])
+    again, fresh = recurrent._read([windows[a:b].tobytes() for a, b in zip([0, *ends], ends)], kind)
     assert (again == windows).all()
     starts = ends - -(-counts // recurrent.WINDOW)
     carried = recurrent.CARRIED
@@ -265,7 +282,7 @@ def test_recurrent_score_against_word_by_word():
     got, at = net.score(ids, counts), 0
     sig = lambda x: 1 / (1 + np.exp(-x))
     w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    H, C = recurrent.HIDDEN, recurrent.CLASS
+    H, C = recurrent.HIDDEN, net.width
     for d, n in enumerate(counts):
         h, last, total = np.zeros(H), 0, 0.0
         for i in ids[at : at + n]:
