@@ -30,6 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import chunked, expand, hash_spans, text_buffer, text_column, word_spans
@@ -44,6 +45,8 @@ SEED_ROWS, SEED_WINDOWS, SEED_EPOCHS = 48, 64, 6
 RATE, REFINE_RATE, LANES = 0.01, 0.002, 256
 #: Windows over which training carries the state; scoring carries it over the whole text.
 CARRIED = 64
+#: Weights that one block of an Adam step moves.
+ADAM = 1 << 15
 CHUNK_TEXT, BUCKET_TEXT = 32 << 20, 512 << 20
 #: Training tokens of a shard; the fewest shards; shards (or sums) that one task sums, and the sums that the driver gets.
 SHARD_TOKENS, SHARDS, FAN_IN, SUMS = 4 << 20, 8, 32, 8
@@ -183,8 +186,11 @@ class Network:
 
     def learn(self, windows: np.ndarray, fresh: np.ndarray, rate: float, epochs: int, lanes: int = LANES) -> None:
         """Adam steps on windows (n x WINDOW + 1 ids, -1 after the end), by segments with the state carried up to the next fresh window."""
-        w = self.w
-        first, second, steps = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
+        # Weights, gradients and moments are moved in blocks that stay in a core's cache.
+        flat = self.flat()
+        self.w, sums = self._split(flat), np.empty_like(flat)
+        blocks = [tuple(x[a : a + ADAM] for x in (flat, sums, *moments)) for moments in [(np.zeros_like(flat), np.zeros_like(flat))] for a in range(0, len(flat), ADAM)]
+        move, steps = np.empty(ADAM, flat.dtype), 0
         rng = np.random.default_rng(11)
         begins = np.flatnonzero(fresh)
         sizes = np.diff(np.append(begins, len(windows)))
@@ -206,29 +212,30 @@ class Network:
                     part = batch[:, begin : begin + SEGMENT + 1]
                     if not (part[:, 1] >= 0).any():
                         break
-                    grad, h = self._segment(part, h)
+                    _, h = self._segment(part, h, sums)
                     steps += 1
                     # Few lanes that are left move the weights less.
                     size, root = rate * math.sqrt(len(now) / len(queues)) / (1 - 0.9**steps), math.sqrt(1 - 0.99**steps)
-                    for k, g in grad.items():
-                        a, b = first[k], second[k]
+                    for w, g, a, b in blocks:
+                        m = np.multiply(g, 0.1, out=move[: len(g)])
                         a *= 0.9
+                        a += m
+                        m *= m
                         b *= 0.99
-                        a += 0.1 * g
-                        g *= g
-                        g *= 0.01
-                        b += g
-                        move = np.sqrt(b, out=g)
-                        move += 1e-8 * root
-                        np.divide(a, move, out=move)
-                        move *= size * root
-                        w[k] += move
-
-    def _segment(self, part: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the mean log likelihood of part's ids (after the first) from states h, and the last states."""
+                        b += m
+                        np.sqrt(b, out=m)
+                        m += 1e-8 * root
+                        np.divide(a, m, out=m)
+                        m *= size * root
+                        w += m
+
+    def _segment(self, part: np.ndarray, h: np.ndarray, flat: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+        """Gradients (in flat, if given) of the mean log likelihood of part's ids (after the first) from states h, and the last states."""
         w, n, size, hid = self.w, len(part), part.shape[1] - 1, HIDDEN
         kind = w["x"].dtype
-        grad = {k: np.zeros_like(v) for k, v in w.items()}
+        flat = np.empty(sum(v.size for v in w.values()), kind) if flat is None else flat
+        flat.fill(0)
+        grad = self._split(flat)
         used = np.maximum(part[:, :-1].T, 0)
         # Of gate (z, r, m), time and text: what one step works on lies together.
         x, u = (np.ascontiguousarray(w[k].reshape(-1, 3, hid).transpose(1, 0, 2)) for k in "xu")
@@ -284,19 +291,19 @@ class Network:
         order = np.argsort(used, kind="stable")
         rows, edges = np.unique(used[order], return_index=True)
         grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * hid)[order], edges)
-        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
-        for g in grad.values():
-            g *= 1 / max(norm, count)
+        flat *= 1 / max(math.sqrt(float(np.vdot(flat, flat))), count)
         return grad, states[-1]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
 
+    def _split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of flat in the shapes of the weights."""
+        ends = np.cumsum([v.size for v in self.w.values()])
+        return {k: flat[b - v.size : b].reshape(v.shape) for (k, v), b in zip(self.w.items(), ends, strict=True)}
+
     def set_flat(self, values: np.ndarray) -> None:
-        at = 0
-        for k, v in self.w.items():
-            self.w[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+        self.w = self._split(values.astype(np.float32))
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 of the network's part of each document's probability; the longest documents first, all in step."""
@@ -318,7 +325,7 @@ class Network:
             rows.append(m)
             pending += m
             t += 1
-            if pending > 30_000 or t == longest:
+            if pending > 8_000 or t == longest:
                 got, _ = self.output(np.concatenate(states), np.concatenate(wanted))
                 begin = 0
                 for m in rows:
@@ -345,8 +352,11 @@ def _counted(buckets: int):
         batch = table.combine_chunks()
         hashes, forms, counts = tokens(text_column(batch.to_batches()[0], "text"))
         train = np.repeat(~_bool(batch, "held_out"), counts)
-        found, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        times = np.bincount(number.ravel()[train], minlength=len(found)).astype(np.int64)
+        words = pa.array(hashes).dictionary_encode()
+        found, number = words.dictionary.to_numpy(), words.indices.to_numpy()
+        # Words are numbered as they first occur.
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+        times = np.bincount(number[train], minlength=len(found)).astype(np.int64)
         bucket = ((found >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         found, times, form, bucket = found[order], times[order], forms[first][order].astype(np.uint8), bucket[order]
@@ -449,8 +459,7 @@ def _scored(shared):
         hashes, forms, counts = tokens(text_column(batch.to_batches()[0], "text"))
         known = np.frombuffer(b"".join(verdict.column("hashes").to_pylist()), np.uint64)
         times = np.frombuffer(b"".join(verdict.column("counts").to_pylist()), np.int64)
-        order = np.argsort(known)
-        c = times[order][np.searchsorted(known[order], hashes)]
+        c = times[pc.index_in(pa.array(hashes), pa.array(known)).to_numpy()]
         doc, n = np.repeat(np.arange(len(counts)), counts), len(counts)
         base = np.bincount(doc, np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1))), minlength=n)
         ids = network.ids(hashes, forms)
