@@ -23,6 +23,14 @@ def allowed_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.allowed_host(F.col("url"), F.lit("https://www.example.org/x")).alias("allowed"), P.official(F.col("url"), ["example.com"]).alias("official"))
 
 
+@query("search_urls", """SELECT r_name AS "sourceId", unnest(['https://r' || r_regionkey || '.example.org/find/?q=' || replace(n_name, ' ', '%20'), 'https://r' || r_regionkey || '.example.org/list?page=1&s=' || replace(n_name, ' ', '+')]) AS url FROM region JOIN nation ON n_regionkey = r_regionkey""")
+def search_urls(spark, sf_dir):
+    asked = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("queries"))
+    host = F.concat(F.lit("https://r"), F.col("r_regionkey").cast("string"), F.lit(".example.org"))
+    rows = table(spark, sf_dir, "region").join(asked, F.col("r_regionkey") == F.col("n_regionkey"))
+    return R.search_urls(rows.select(F.col("r_name").alias("sourceId"), F.array(F.concat(host, F.lit("/find/?q={query}")), F.concat(host, F.lit("/list?page=1#top"))).alias("templates"), "queries"))
+
+
 @query("blocked_pages", "SELECT page_id, trim(coalesce(html, '')) = '' OR contains(lower(html), 'access denied') OR contains(lower(html), 'checking your browser') OR contains(lower(html), 'enable javascript and cookies') OR contains(lower(html), '403 forbidden') AS blocked FROM pages")
 def blocked_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.blocked(F.col("html")).alias("blocked"))

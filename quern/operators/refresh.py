@@ -34,6 +34,21 @@ def scoped(df: DataFrame, included: list[str] = (), excluded: list[str] = (), co
     return out.where(~F.col(column).isin(*excluded)) if excluded else out
 
 
+def search_urls(df: DataFrame, templates: str = "templates", queries: str = "queries", column: str = "sourceId") -> DataFrame:
+    """Distinct (column, url) of each row's absolute templates with each of its queries: in place of {query} as a component, else
+    as parameter s.  Fragments go, white space in queries becomes one space, blank templates and queries give nothing."""
+    t, q = F.col("_t"), F.trim(F.regexp_replace("_q", "\\s+", " "))
+    form, part = F.url_encode(q), F.url_encode(q)
+    # What a component leaves as it is, and a form does not.
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        part = F.replace(part, F.lit(code), F.lit(plain))
+    bare = F.regexp_replace(t, "#.*$", "")
+    asked = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.lit("s="), form)
+    url = F.when(F.contains(t, F.lit("{query}")), F.regexp_replace(F.replace(t, F.lit("{query}"), part), "#.*$", "")).otherwise(asked)
+    pairs = df.select(column, F.explode(templates).alias("_t"), F.col(queries).alias("_qs")).select(column, "_t", F.explode("_qs").alias("_q"))
+    return pairs.where((F.trim(t) != "") & (q != "")).select(column, url.alias("url")).distinct()
+
+
 def options(*layers: dict) -> dict:
     """Effective options: each from the first layer that states it; null states nothing."""
     return {k: v for layer in reversed(layers) for k, v in layer.items() if v is not None}

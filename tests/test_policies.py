@@ -119,6 +119,13 @@ def test_category_pages_keep_their_order(spark):
     assert got == {1: "6,5,4,3,2", 2: "1,0"}
 
 
+def test_search_urls(spark):
+    rows = [("a", ["https://a.org/?q={query}#x", "https://a.org/s"], ["two  words ", "it's~(a)", "two words", " ", None]), ("b", None, ["q"]), ("c", ["", "https://c.org/"], []), ("d", ["https://d.org/?p=1"], ["x&y"])]
+    got = {tuple(r) for r in R.search_urls(spark.createDataFrame(rows, "sourceId string, templates array<string>, queries array<string>")).collect()}
+    a = {"https://a.org/?q=two%20words", "https://a.org/?q=it's~(a)", "https://a.org/s?s=two+words", "https://a.org/s?s=it%27s%7E%28a%29"}
+    assert got == {("a", u) for u in a} | {("d", "https://d.org/?p=1&s=x%26y")}
+
+
 def test_providers(spark):
     docs = documents(spark).withColumns({"url": F.lit("https://a.example.org/"), "language": F.lit("ko")})
     local = LocalProvider(docs)
