@@ -53,6 +53,16 @@ def test_nfkc_and_jamo(spark):
     assert [r.n for r in rows] == [unicodedata.normalize("NFKC", "ｱＢ①"), None, "", "각x"] and rows[3].j == "ㄱㅏㄱx"
 
 
+def test_ngrams_of_long_texts(spark):
+    """The text's form is computed once, not for each n-gram; the first 240 are those of the whole text."""
+    texts = ["A b-c " * 5_000, "가나 " * 121, "ab", "x", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string").select("id", T.ngrams(T.token(F.col("t"))["lower"]).alias("grams"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    for r in df.collect():
+        s = (texts[r.id] or "").replace(" ", "").replace("-", "").lower()
+        assert r.grams == [s[k : k + n] for n in (2, 3, 4) for k in range(len(s) - n + 1)][:240]
+
+
 def test_search_of_nothing(spark):
     docs = spark.createDataFrame([], "id long, title string, snippet string, body string, date string, language string, sourceId string, sourceName string, sourceType string, displaySourceId string, mediaType string, url string, displayOrder int")
     assert S.search(docs, prepare("foo bar")).count() == 0
