@@ -163,7 +163,7 @@ def rate_limit_exact(spark, sf_dir):
 
 @query("stream_rate_limit")
 def stream_rate_limit(spark, sf_dir):
-    """The same through Structured Streaming: events as a file stream, all available batches, into a memory table."""
+    """The same through Structured Streaming: events as a file stream, all available batches, into Parquet files."""
     return _streamed(spark, sf_dir, "events", lambda s: L.limiter(s), "rate_limit")
 
 
@@ -174,15 +174,21 @@ def stream_window_counts(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, name, change, label, mode="append"):
-    """Drives a stream over a table's files to its end and returns what its sink holds."""
+    """Drives a stream over a table's files to its end and returns its rows.  Appended rows, as many as the input's, go to
+    Parquet files in the shared folder; a complete result, one row a window and key, to a memory table on the driver."""
     import uuid
 
     kind = table(spark, sf_dir, name).schema
     sink = f"{label}_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_folder(sf_dir, name))
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-stream-")
-    q = change(stream).writeStream.outputMode(mode).format("memory").queryName(sink).trigger(availableNow=True).option("checkpointLocation", f"{base.rstrip('/')}/stream-{sink}").start()
-    q.awaitTermination()
+    folder = f"{base.rstrip('/')}/stream-{sink}"
+    rows = change(stream)
+    out = rows.writeStream.outputMode(mode).queryName(sink).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+    if mode == "append":
+        out.format("parquet").start(f"{folder}/rows").awaitTermination()
+        return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    out.format("memory").start().awaitTermination()
     return spark.table(sink)
 
 

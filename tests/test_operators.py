@@ -42,6 +42,14 @@ def test_rate_limit_equals_plain_fold_and_stream(spark, data):
     assert {r.event_id: (r.accepted, r.retry_after) for r in QUERIES["stream_rate_limit"](spark, data).collect()} == want
 
 
+def test_streamed_rows_stay_in_files(spark, data, tmp_path):
+    """The stream's rows are as many as its input's: they lie in files, not in a table on the driver; no events give no rows."""
+    assert QUERIES["stream_rate_limit"](spark, data).inputFiles()
+    spark.read.parquet(f"{data}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    none = QUERIES["stream_rate_limit"](spark, str(tmp_path))
+    assert none.columns == ["user_id", "event_id", "accepted", "retry_after"] and none.count() == 0
+
+
 def test_limits():
     assert decide([], 0) == (True, 0) and decide([0], 14_000) == (False, 1) and decide([0], 15_000) == (True, 0)
     assert not decide([0, 20_000, 40_000, 60_000, 80_000], 100_000)[0]
