@@ -128,6 +128,11 @@ def test_golden_title_scope_with_marks(spark, tmp_path):
     assert found == wanted == [(1,), (2,)]
 
 
+def test_golden_excluded_with_marks(spark, tmp_path):
+    found, wanted = golden(spark, tmp_path, "golden_excluded")
+    assert found == wanted == [(5, 1000), (6, 620), (7, 620), (9, 520)]
+
+
 def test_forms_are_computed_once(spark):
     """Each form's pattern stands once in the optimised plan, whatever the query mentions."""
     docs = documents(spark)
