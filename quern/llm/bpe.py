@@ -8,8 +8,8 @@ numpy until a pair is proved or refuted.  Only words with a refuted pair are mer
 The vocabulary is a tokenizers-library file with an NFC + lower-case normalizer, a splitting
 pattern, byte-level symbols and a word-end suffix; its bytes are read once on the driver and
 broadcast (a fixed file of about 2 MB).  White space never lies in a token, so texts are cut at
-white space and every distinct piece is encoded once per chunk; a bounded dictionary per task
-keeps recent pieces.
+white space and every distinct piece is encoded once per chunk; a bounded dictionary per worker
+keeps pieces, at its bound those that came again, and goes when another stage begins in the worker.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; very long
 texts and words are encoded whole; special tokens' strings in a text are those tokens.  Rows keep
@@ -29,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import chunked, expand, sha256_hex, text_column
+from quern.llm.common import HELD, chunked, expand, sha256_hex, text_column
 
-#: Pieces that a task's dictionary holds at most before it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a worker's dictionary holds at most before it leaves out those that came in one chunk only.
+CACHE_PIECES = 200_000
 #: Symbols of a word above which its exact merging uses a heap instead of rows in step.
 LONG_WORD = 64
 
@@ -79,6 +79,8 @@ class Bpe:
         self.merge_to = np.array([t for _, t in self.rank.values()], np.int64)
         self._trie()
         self.pieces: dict[str, tuple[str, int, str]] = {}
+        #: Pieces that were in the dictionary already when they came.
+        self.again: set[str] = set()
 
     def _trie(self) -> None:
         """Nodes are the tokens' prefixes; edges are sorted node * 257 + symbol, symbol 256 being a word's end."""
@@ -312,10 +314,14 @@ class Bpe:
 
     def _rendered(self, texts: list[str]) -> list[tuple[str, int, str]]:
         cut = [self.pieces_of(t) for t in texts]
-        new = set().union(*cut) - self.pieces.keys()
+        used = set().union(*cut)
+        new = used - self.pieces.keys()
+        known = used - new
+        self.again |= known
         if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
-            new = set().union(*cut)
+            kept = self.again if len(self.again) + len(new) <= CACHE_PIECES else known
+            self.pieces = {p: self.pieces[p] for p in kept}
+            self.again = set()
         self.learn(new)
         return [_joined(map(self.pieces.__getitem__, c)) or ("", 0, "") for c in cut]
 
@@ -336,16 +342,13 @@ def _joined(parts) -> tuple[str, int, str] | None:
     return " ".join(ids), sum(counts), " ".join(names)
 
 
-_models: dict[bytes, Bpe] = {}
-
-
 def _model(vocabulary: bytes) -> Bpe:
     """One model per Python worker and vocabulary; workers outlive tasks."""
     key = hashlib.sha256(vocabulary).digest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Bpe(vocabulary)
-    return _models[key]
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Bpe(vocabulary)
+    return HELD[key]
 
 
 def vocabulary_bytes(path: str | None = None) -> bytes:
@@ -364,7 +367,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe = _model(shared.value)
-        for batch in chunked(batches):
+        for batch in chunked(batches, keep=True):
             got = bpe.rendered(text_column(batch, "text").to_pylist())
             ids = pa.array([np.array(i.split(), np.int32) for i, _, _ in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), ids, pa.array([d for _, _, d in got], pa.string())], ["doc_id", "ids", "decoded"])
@@ -378,7 +381,7 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe = _model(shared.value)
-        for batch in chunked(batches):
+        for batch in chunked(batches, keep=True):
             got = bpe.rendered(text_column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha256_hex(i.encode()) for i, _, _ in got]), pa.array([sha256_hex(d.encode()) for _, _, d in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -41,6 +41,10 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - first
 
 
+#: What a stage keeps in its Python worker from task to task; the next stage of another kind in that worker drops it.
+HELD: dict = {}
+
+
 def _freed() -> None:
     """Gives unused memory back to the machine: Python workers are kept for later stages, and with them what they once held."""
     pa.default_memory_pool().release_unused()
@@ -50,8 +54,10 @@ def _freed() -> None:
         pass
 
 
-def chunked(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `limit` bytes of text, but one row at least."""
+def chunked(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `limit` bytes of text, but one row at least.  keep: what is held is this stage's own."""
+    if not keep:
+        HELD.clear()
     _freed()
     for batch in batches:
         if not batch.num_rows:

@@ -157,6 +157,23 @@ def test_bpe_on_any_word(text):
         assert mine.exact(w) == mine.words([w])[0]
 
 
+def test_bpe_dictionary_is_bounded_and_goes_with_its_stage(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    vocabulary, learnt = bpe.vocabulary_bytes(), []
+    texts = ["a b c", "c d", "c e f g", "c f", "h i j k l m n", "a"]
+    alone = [bpe.Bpe(vocabulary).rendered([t])[0] for t in texts]
+    mine = bpe._model(vocabulary)
+    monkeypatch.setattr(bpe.Bpe, "learn", lambda self, pieces, real=bpe.Bpe.learn: (learnt.append(set(pieces)), real(self, learnt[-1])))
+    assert [mine.rendered([t])[0] for t in texts] == alone
+    # At the bound (third text) the piece that came again stays; a text of more pieces than the bound is encoded whole.
+    assert learnt == [set("abc"), set("d"), set("efg"), set(), set("hijklmn"), set("a")]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert list(common.chunked(iter([batch]), keep=True)) and bpe._model(vocabulary) is mine
+    # Another stage in the same worker drops vocabulary and dictionary.
+    assert list(common.chunked(iter([batch]))) and not common.HELD
+
+
 # 4: quality
 def test_quality_held_out(docs, labels, edges):
     truth = {r.doc_id: r.quality for r in labels.collect()}
