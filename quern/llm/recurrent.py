@@ -47,6 +47,8 @@ RATE, REFINE_RATE, LANES = 0.01, 0.002, 256
 CARRIED = 64
 #: Weights that one block of an Adam step moves.
 ADAM = 1 << 15
+#: Documents that are scored in step, and tokens whose probabilities are computed at once.
+IN_STEP, PENDING = 512, 8_000
 CHUNK_TEXT, BUCKET_TEXT = 32 << 20, 512 << 20
 #: Training tokens of a shard; the fewest shards; shards (or sums) that one task sums, and the sums that the driver gets.
 SHARD_TOKENS, SHARDS, FAN_IN, SUMS = 4 << 20, 8, 32, 8
@@ -133,20 +135,29 @@ class Network:
     def classes(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.size, ids // self.width, self.groups + ids - self.size)
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The next states."""
-        g, a = self.w["x"][ids], h @ self.w["u"]
-        zr = g[:, : 2 * HIDDEN]
-        zr += a[:, : 2 * HIDDEN]
-        zr *= 0.5
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input and recurrent weights by gate, for step: halved where a gate is (1 + tanh(x / 2)) / 2, which is exact."""
+        x, u = (np.ascontiguousarray(self.w[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in "xu")
+        x[:2] *= 0.5
+        u *= 0.5
+        return x, u
+
+    def step(self, h: np.ndarray, ids: np.ndarray, gates: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The next states; gates: what _gates gives, if many steps follow."""
+        gates = gates or self._gates()
+        g, a = np.take(gates[0], ids, axis=1), h @ gates[1]
+        zr, m, out = g[:2], g[2], a[2]
+        zr += a[:2]
         np.tanh(zr, out=zr)
         zr += 1
-        zr *= 0.5
-        n = a[:, 2 * HIDDEN :]
-        n *= zr[:, HIDDEN:]
-        n += g[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        return n + zr[:, :HIDDEN] * (h - n)
+        out *= zr[1]
+        m += out
+        np.tanh(m, out=m)
+        np.subtract(h, m, out=out)
+        out *= zr[0]
+        out *= 0.5
+        out += m
+        return out
 
     def output(self, states: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of P(class | state), times P(word | class) in the vocabulary; with grad, gradients of their sum.
@@ -168,7 +179,7 @@ class Network:
         order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.groups + 1))
         order = order[: edges[-1]]
-        s = s[order]
+        s = np.take(s, order, axis=0)
         logits = np.empty((width, len(order)), kind)
         spans = [(c * width, (c + 1) * width, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges)).tolist()]
         for lo, hi, a, b in spans:
@@ -260,9 +271,15 @@ class Network:
         wanted = part[:, 1:].T
         live = wanted >= 0
         count = max(int(live.sum()), 1)
-        _, back = self.output(states[1:][live], wanted[live], grad)
-        outer = np.zeros_like(inner)
-        outer[live] = back
+        # np.take copies whole rows, which indexing does not.
+        at = np.flatnonzero(live)
+        after, wanted = states[1:].reshape(-1, hid), wanted.ravel()
+        some = len(at) < wanted.size
+        _, outer = self.output(np.take(after, at, axis=0) if some else after, np.take(wanted, at) if some else wanted, grad)
+        if some:
+            back, outer = outer, np.zeros_like(after)
+            outer[at] = back
+        outer = outer.reshape(size, n, hid)
         d, down = np.zeros((n, hid), kind), np.ascontiguousarray(w["u"].T)
         into, middle = np.empty((size, n, 3 * hid), kind), np.empty_like(inner)
         for t in range(size - 1, -1, -1):
@@ -290,7 +307,7 @@ class Network:
         used = used.astype(self.kind).ravel()
         order = np.argsort(used, kind="stable")
         rows, edges = np.unique(used[order], return_index=True)
-        grad["x"][rows] = np.add.reduceat(into.reshape(-1, 3 * hid)[order], edges)
+        grad["x"][rows] = np.add.reduceat(np.take(into.reshape(-1, 3 * hid), order, axis=0), edges)
         flat *= 1 / max(math.sqrt(float(np.vdot(flat, flat))), count)
         return grad, states[-1]
 
@@ -306,36 +323,38 @@ class Network:
         self.w = self._split(values.astype(np.float32))
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the network's part of each document's probability; the longest documents first, all in step."""
+        """log10 of the network's part of each document's probability; documents of like length go in step, so many that their states stay in a core's cache."""
         order = np.argsort(-counts, kind="stable")
         size, first = counts[order], (np.cumsum(counts) - counts)[order]
-        out = np.zeros(len(counts))
-        h = np.zeros((len(counts), HIDDEN), np.float32)
-        longest = int(size[0]) if len(size) else 0
-        active = np.searchsorted(-size, -np.arange(longest), "left")
-        t, states, wanted, rows = 0, [], [], []
-        pending = 0
-        while t < longest:
-            m = int(active[t])
-            now = ids[first[:m] + t]
-            last = ids[first[:m] + t - 1] if t else np.zeros(m, np.int64)
-            h = self.step(h[:m], last)
-            states.append(h)
-            wanted.append(now)
-            rows.append(m)
-            pending += m
-            t += 1
-            if pending > 8_000 or t == longest:
-                got, _ = self.output(np.concatenate(states), np.concatenate(wanted))
-                begin = 0
-                for m in rows:
-                    out[:m] += got[begin : begin + m]
-                    begin += m
-                states, wanted, rows, pending = [], [], [], 0
+        out, gates = np.zeros(len(counts)), self._gates()
+        states, wanted, rows, pending = [], [], [], 0
+        for lo in range(0, len(counts), IN_STEP):
+            hi = min(lo + IN_STEP, len(counts))
+            longest, begin = int(size[lo]), first[lo:hi]
+            active = np.searchsorted(-size[lo:hi], -np.arange(longest), "left").tolist()
+            h, last = np.zeros((hi - lo, HIDDEN), np.float32), np.zeros(hi - lo, np.int64)
+            for t, m in enumerate(active):
+                h = self.step(h[:m], last[:m], gates)
+                last = ids[begin[:m] + t]
+                states.append(h)
+                wanted.append(last)
+                rows.append((lo, m))
+                pending += m
+                if pending > PENDING:
+                    self._added(out, states, wanted, rows)
+                    states, wanted, rows, pending = [], [], [], 0
+        if rows:
+            self._added(out, states, wanted, rows)
         result = np.empty(len(counts))
         result[order] = out / math.log(10)
         return result
 
+    def _added(self, out: np.ndarray, states: list, wanted: list, rows: list) -> None:
+        got, begin = self.output(np.concatenate(states), np.concatenate(wanted))[0], 0
+        for lo, m in rows:
+            out[lo : lo + m] += got[begin : begin + m]
+            begin += m
+
 
 def _held(mod: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))

@@ -318,6 +318,18 @@ def test_recurrent_score_against_word_by_word():
         assert math.isclose(got[d], total, rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_recurrent_score_steps_are_bounded(monkeypatch):
+    net, rng = recurrent.Network(np.arange(1, 120, dtype=np.uint64)), np.random.default_rng(5)
+    net.w = {k: (rng.normal(size=v.shape) * 0.3).astype(np.float32) for k, v in net.w.items()}
+    counts = rng.integers(1, 9, recurrent.IN_STEP * 2 + 3)
+    ids, rows = rng.integers(0, 119 + recurrent.FORMS, counts.sum()), []
+    monkeypatch.setattr(recurrent.Network, "step", lambda self, h, *a, real=recurrent.Network.step: (rows.append(len(h)), real(self, h, *a))[1])
+    whole = net.score(ids, counts)
+    assert max(rows) == recurrent.IN_STEP and sum(rows) == len(ids)
+    monkeypatch.setattr(recurrent, "IN_STEP", 7)
+    assert np.allclose(net.score(ids, counts), whole, rtol=1e-5)
+
+
 def test_recurrent_scores_do_not_follow_settings(spark, docs):
     scores = []
     old = spark.conf.get("spark.sql.shuffle.partitions")
