@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import chunked, expand, hash_spans, text_buffer, text_column, word_spans
+from quern.llm.common import chunked, expand, hash_spans, text_buffer, text_column, text_lengths, word_spans
 from quern.llm.substrings import _size
 from quern.llm.tables import written
 
@@ -49,6 +49,10 @@ CARRIED = 64
 ADAM = 1 << 15
 #: Documents that are scored in step, and tokens whose probabilities are computed at once.
 IN_STEP, PENDING = 512, 8_000
+#: What stays in a core's cache: bytes of text that are cut into tokens at once, tokens looked up, rows of logits, time steps of gradients; and the runs of equal rows that are summed one by one.
+TEXT_BLOCK, ID_BLOCK, ROW_BLOCK, TIME_BLOCK, LONG_RUN = 256 << 10, 1 << 16, 1_024, 4, 32
+#: Logits up to this size stay far from what 32 bits hold when exponentiated and summed.
+SMALL = 60
 CHUNK_TEXT, BUCKET_TEXT = 32 << 20, 512 << 20
 #: Training tokens of a shard; the fewest shards; shards (or sums) that one task sums, and the sums that the driver gets.
 SHARD_TOKENS, SHARDS, FAN_IN, SUMS = 4 << 20, 8, 32, 8
@@ -66,6 +70,15 @@ def vocabulary(n: int) -> int:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and forms of all texts' tokens, ends included, and the texts' numbers of tokens."""
+    ends, at, parts = np.cumsum(text_lengths(texts)), 0, []
+    while not parts or at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BLOCK, "right")))
+        parts.append(_tokens(texts.slice(at, to - at)))
+        at = to
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_buffer(texts)
     data = _LOWER[data]
     starts, stops, doc = word_spans(data, offsets)
@@ -85,10 +98,17 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, kind, counts + 1
 
 
-def _chosen(logits: np.ndarray, choice: np.ndarray, back: bool) -> np.ndarray:
-    """Log probabilities of each column's choice; with back, logits become their gradients, else they are lost."""
+def _small(weights: np.ndarray, peak: float) -> bool:
+    """Can logits of the weights (the last is a bias's) and of states up to peak be exponentiated as they are, without loss?"""
+    sizes = np.abs(weights)
+    return float((sizes[:, :-1].sum(axis=1) * peak + sizes[:, -1]).max(initial=0)) < SMALL
+
+
+def _chosen(logits: np.ndarray, choice: np.ndarray, back: bool, small: bool) -> np.ndarray:
+    """Log probabilities of each column's choice; with back, logits become their gradients, else they are lost.  small: see _small."""
     columns = np.arange(len(choice))
-    logits -= logits.max(axis=0)
+    if not small:
+        logits -= logits.max(axis=0)
     own = logits[choice, columns]
     np.exp(logits, out=logits)
     total = logits.sum(axis=0)
@@ -99,6 +119,25 @@ def _chosen(logits: np.ndarray, choice: np.ndarray, back: bool) -> np.ndarray:
     return own
 
 
+def _run_sums(rows: np.ndarray, order: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each run of order (they begin at edges) the sum of its rows, added one by one: short runs in step, long ones each alone."""
+    sizes = np.diff(np.append(edges, len(order)))
+    by_size = np.argsort(-sizes, kind="stable")
+    begin, sizes = edges[by_size], sizes[by_size]
+    long = int(np.searchsorted(-sizes, -LONG_RUN, "left"))
+    out = np.empty((len(sizes), rows.shape[1]), rows.dtype)
+    for k, (a, n) in enumerate(zip(begin[:long].tolist(), sizes[:long].tolist(), strict=True)):
+        np.add.reduce(np.take(rows, order[a : a + n], axis=0), axis=0, out=out[k])
+    begin, sizes, short = begin[long:], sizes[long:], out[long:]
+    if len(short):
+        np.take(rows, order[begin], axis=0, out=short)
+        for k, n in enumerate(np.searchsorted(-sizes, -np.arange(1, sizes[0]), "left").tolist(), 1):
+            short[:n] += np.take(rows, order[begin[:n] + k], axis=0)
+    result = np.empty_like(out)
+    result[by_size] = out
+    return result
+
+
 class Network:
     """Weights; words 0 .. size-1 are the vocabulary (0: the end), classes of `width` words, then forms."""
 
@@ -126,10 +165,13 @@ class Network:
 
     def ids(self, hashes: np.ndarray, forms: np.ndarray) -> np.ndarray:
         out = self.size + forms
-        near = np.flatnonzero(self.bits[hashes & np.uint64(len(self.bits) - 1)])
-        at = np.minimum(np.searchsorted(self.sorted, hashes[near]), self.size - 1)
-        hit = self.sorted[at] == hashes[near]
-        out[near[hit]] = self.order[at[hit]]
+        for begin in range(0, len(out), ID_BLOCK):
+            part = hashes[begin : begin + ID_BLOCK]
+            near = np.flatnonzero(self.bits[part & np.uint64(len(self.bits) - 1)])
+            part = part[near]
+            at = np.minimum(np.searchsorted(self.sorted, part), self.size - 1)
+            hit = self.sorted[at] == part
+            out[begin + near[hit]] = self.order[at[hit]]
         return out
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
@@ -163,37 +205,54 @@ class Network:
         """Natural logarithms of P(class | state), times P(word | class) in the vocabulary; with grad, gradients of their sum.
 
         Logits lie choices x rows, so that sums over choices add whole rows; a last state of 1 carries the biases."""
-        w, cls, kind, width = self.w, self.classes(ids), states.dtype, self.width
-        s = np.concatenate([states, np.ones((len(ids), 1), kind)], axis=1)
-        logits = np.concatenate([w["c"], w["cb"][None]]).T @ s.T
-        out = _chosen(logits, cls, grad is not None)
-        back = None
-        if grad is not None:
-            sums = logits @ s
-            grad["c"] += sums[:, :-1].T
-            grad["cb"] += sums[:, -1]
-            back = logits.T @ w["c"].T
+        w, cls, kind, width, back = self.w, self.classes(ids), states.dtype, self.width, grad is not None
+        s = np.ones((len(ids), HIDDEN + 1), kind)
+        s[:, :-1] = states
+        peak = float(np.abs(states).max(initial=0))
+        out, outer = np.empty(len(ids), kind), np.empty_like(states) if back else None
+        down = w["c"].T
+        weights = np.concatenate([down, w["cb"][:, None]], axis=1)
+        small = _small(weights, peak)
+        # Rows go in blocks whose logits stay in a core's cache.
+        for a in range(0, len(ids), ROW_BLOCK):
+            b = a + ROW_BLOCK
+            logits = weights @ s[a:b].T
+            out[a:b] = _chosen(logits, cls[a:b], back, small)
+            if back:
+                sums = logits @ s[a:b]
+                grad["c"] += sums[:, :-1].T
+                grad["cb"] += sums[:, -1]
+                np.matmul(logits.T, down, out=outer[a:b])
         # The last class is filled up with words of no probability.
         words = np.zeros((self.groups * width, HIDDEN + 1), kind)
         words[: self.size, :-1], words[: self.size, -1], words[self.size :, -1] = w["v"], w["vb"], -1e30
+        small = _small(words[: self.size], peak)
         order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.groups + 1))
         order = order[: edges[-1]]
-        s = np.take(s, order, axis=0)
-        logits = np.empty((width, len(order)), kind)
-        spans = [(c * width, (c + 1) * width, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges)).tolist()]
-        for lo, hi, a, b in spans:
-            np.matmul(words[lo:hi], s[a:b].T, out=logits[:, a:b])
-        out[order] += _chosen(logits, ids[order] % width, grad is not None)
-        if grad is not None:
-            sums, inner = np.zeros_like(words), np.empty((len(order), HIDDEN), kind)
-            for lo, hi, a, b in spans:
-                np.matmul(logits[:, a:b], s[a:b], out=sums[lo:hi])
-                np.matmul(logits[:, a:b].T, words[lo:hi, :-1], out=inner[a:b])
+        s, choice = np.take(s, order, axis=0), np.take(ids, order) % width
+        own, inner = np.empty(len(order), kind), np.empty((len(order), HIDDEN), kind)
+        sums = np.zeros_like(words) if back else None
+        spans = [(c * width, (c + 1) * width, int(edges[c]), int(edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+        while spans:
+            # Whole classes, until a block is full.
+            first = spans[0][2]
+            count = next((k for k, span in enumerate(spans, 1) if span[3] - first >= ROW_BLOCK), len(spans))
+            block, spans = spans[:count], spans[count:]
+            last = block[-1][3]
+            logits = np.empty((width, last - first), kind)
+            for lo, hi, a, b in block:
+                np.matmul(words[lo:hi], s[a:b].T, out=logits[:, a - first : b - first])
+            own[first:last] = _chosen(logits, choice[first:last], back, small)
+            for lo, hi, a, b in block if back else ():
+                np.matmul(logits[:, a - first : b - first], s[a:b], out=sums[lo:hi])
+                np.matmul(logits[:, a - first : b - first].T, words[lo:hi, :-1], out=inner[a:b])
+        out[order] += own
+        if back:
             grad["v"] += sums[: self.size, :-1]
             grad["vb"] += sums[: self.size, -1]
-            back[order] += inner
-        return out, back
+            outer[order] += inner
+        return out, outer
 
     def learn(self, windows: np.ndarray, fresh: np.ndarray, rate: float, epochs: int, lanes: int = LANES) -> None:
         """Adam steps on windows (n x WINDOW + 1 ids, -1 after the end), by segments with the state carried up to the next fresh window."""
@@ -201,7 +260,7 @@ class Network:
         flat = self.flat()
         self.w, sums = self._split(flat), np.empty_like(flat)
         blocks = [tuple(x[a : a + ADAM] for x in (flat, sums, *moments)) for moments in [(np.zeros_like(flat), np.zeros_like(flat))] for a in range(0, len(flat), ADAM)]
-        move, steps = np.empty(ADAM, flat.dtype), 0
+        steps = 0
         rng = np.random.default_rng(11)
         begins = np.flatnonzero(fresh)
         sizes = np.diff(np.append(begins, len(windows)))
@@ -227,18 +286,18 @@ class Network:
                     steps += 1
                     # Few lanes that are left move the weights less.
                     size, root = rate * math.sqrt(len(now) / len(queues)) / (1 - 0.9**steps), math.sqrt(1 - 0.99**steps)
+                    # a and b: 10 and 100 times the moments; the gradient's place is free once a has it.
                     for w, g, a, b in blocks:
-                        m = np.multiply(g, 0.1, out=move[: len(g)])
                         a *= 0.9
-                        a += m
-                        m *= m
+                        a += g
+                        g *= g
                         b *= 0.99
-                        b += m
-                        np.sqrt(b, out=m)
-                        m += 1e-8 * root
-                        np.divide(a, m, out=m)
-                        m *= size * root
-                        w += m
+                        b += g
+                        np.sqrt(b, out=g)
+                        g += 1e-7 * root
+                        np.divide(a, g, out=g)
+                        g *= size * root
+                        w += g
 
     def _segment(self, part: np.ndarray, h: np.ndarray, flat: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
         """Gradients (in flat, if given) of the mean log likelihood of part's ids (after the first) from states h, and the last states."""
@@ -250,6 +309,9 @@ class Network:
         used = np.maximum(part[:, :-1].T, 0)
         # Of gate (z, r, m), time and text: what one step works on lies together.
         x, u = (np.ascontiguousarray(w[k].reshape(-1, 3, hid).transpose(1, 0, 2)) for k in "xu")
+        # Gates are (1 + tanh(x / 2)) / 2; halving is exact.
+        x[:2] *= 0.5
+        u[:2] *= 0.5
         gates = np.take(x, used, axis=1)
         states, inner = np.empty((size + 1, n, hid), kind), np.empty((size, n, hid), kind)
         states[0] = h
@@ -258,7 +320,6 @@ class Network:
             np.matmul(states[t], u, out=a)
             zr, m = gates[:2, t], gates[2, t]
             zr += a[:2]
-            zr *= 0.5
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
@@ -285,29 +346,30 @@ class Network:
         for t in range(size - 1, -1, -1):
             z, r, m, row, dm = *gates[:, t], into[t], middle[t]
             d += outer[t]
-            keep = np.subtract(1, z, out=step)
             # m' = 1 - m^2; z' = z (1 - z); r' = r (1 - r)
+            kept = np.multiply(d, z, out=step)
+            d -= kept
             np.multiply(m, m, out=dm)
             np.subtract(1, dm, out=dm)
-            dm *= keep
             dm *= d
-            keep *= z
-            keep *= d
+            d *= z
             np.subtract(states[t], m, out=m)
-            np.multiply(keep, m, out=row[:, :hid])
+            np.multiply(d, m, out=row[:, :hid])
             through = np.multiply(dm, r, out=m)
             row[:, 2 * hid :] = through
             through *= inner[t]
             np.subtract(1, r, out=r)
             np.multiply(through, r, out=row[:, hid : 2 * hid])
-            d *= z
-            d += np.matmul(row, down, out=step)
-        grad["u"] += states[:-1].reshape(-1, hid).T @ into.reshape(-1, 3 * hid)
-        into[..., 2 * hid :] = middle
+            np.matmul(row, down, out=d)
+            d += kept
+            if t % TIME_BLOCK == 0:
+                block = slice(t, t + TIME_BLOCK)
+                grad["u"] += states[:-1][block].reshape(-1, hid).T @ into[block].reshape(-1, 3 * hid)
+                into[block, :, 2 * hid :] = middle[block]
         used = used.astype(self.kind).ravel()
         order = np.argsort(used, kind="stable")
         rows, edges = np.unique(used[order], return_index=True)
-        grad["x"][rows] = np.add.reduceat(np.take(into.reshape(-1, 3 * hid), order, axis=0), edges)
+        grad["x"][rows] = _run_sums(into.reshape(-1, 3 * hid), order, edges)
         flat *= 1 / max(math.sqrt(float(np.vdot(flat, flat))), count)
         return grad, states[-1]
 

@@ -330,6 +330,30 @@ def test_recurrent_score_steps_are_bounded(monkeypatch):
     assert np.allclose(net.score(ids, counts), whole, rtol=1e-5)
 
 
+def test_recurrent_blocks_change_nothing(monkeypatch):
+    texts = pa.array([t or "" for _, t in EDGES] + ["Été a b", "", "x" * 90], pa.large_string())
+    net, rng = recurrent.Network(np.arange(1, 120, dtype=np.uint64)), np.random.default_rng(3)
+    for k in net.w:
+        net.w[k] = rng.normal(size=net.w[k].shape) * 0.3
+    states, ids = rng.normal(size=(300, recurrent.HIDDEN)), rng.integers(0, 119 + recurrent.FORMS, 300)
+    order = np.argsort(ids, kind="stable")
+    found, edges = np.unique(ids[order], return_index=True)
+
+    def results():
+        grad = {k: np.zeros_like(v) for k, v in net.w.items()}
+        return [*recurrent.tokens(texts), net.ids(ids.astype(np.uint64), ids % recurrent.FORMS), *net.output(states, ids, grad), *grad.values(), recurrent._run_sums(states, order, edges)]
+
+    whole = results()
+    assert len(whole[0]) == whole[2].sum() and len(whole[2]) == len(texts)
+    assert np.allclose(whole[-1], [states[ids == i].sum(axis=0) for i in found])
+    # Logits too large to be exponentiated as they are go the other way.
+    for name, value in (("TEXT_BLOCK", 1), ("ID_BLOCK", 7), ("ROW_BLOCK", 7), ("LONG_RUN", 2), ("SMALL", 0)):
+        monkeypatch.setattr(recurrent, name, value)
+        assert all(np.allclose(a, b, rtol=1e-9, atol=1e-9) for a, b in zip(results(), whole, strict=True))
+    net.w["cb"][3] = 1e4
+    assert np.isfinite(net.output(states, ids)[0]).all()
+
+
 def test_recurrent_scores_do_not_follow_settings(spark, docs):
     scores = []
     old = spark.conf.get("spark.sql.shuffle.partitions")
