@@ -8,8 +8,9 @@ numpy until a pair is proved or refuted.  Only words with a refuted pair are mer
 The vocabulary is a tokenizers-library file with an NFC + lower-case normalizer, a splitting
 pattern, byte-level symbols and a word-end suffix; its bytes are read once on the driver and
 broadcast (a fixed file of about 2 MB).  White space never lies in a token, so texts are cut at
-white space and every distinct piece is encoded once per chunk; a bounded dictionary per worker
-keeps pieces, at its bound those that came again, and goes when another stage begins in the worker.
+ASCII white space (the pattern cuts the rest) and every distinct piece is encoded once per chunk; a
+bounded dictionary per worker keeps pieces, at its bound those that came again, and goes when another
+stage begins in the worker.  Texts are cut, and their pieces' ids and tokens joined, as Arrow arrays.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; very long
 texts and words are encoded whole; special tokens' strings in a text are those tokens.  Rows keep
@@ -26,21 +27,19 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import HELD, chunked, expand, sha256_hex, text_column
 
 #: Pieces that a worker's dictionary holds at most before it leaves out those that came in one chunk only.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
+#: Bytes of text that are encoded at once.
+CHUNK_TEXT = 4 << 20
 #: Symbols of a word above which its exact merging uses a heap instead of rows in step.
 LONG_WORD = 64
 
-_WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Characters at which str.split() cuts but the vocabulary's pattern does not.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_PIECES = regex.compile(f"[^{_WHITE}]+")
-
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte."""
@@ -78,7 +77,13 @@ class Bpe:
         self.tokens = {(t[: -len(end)] + "\0" if end and t.endswith(end) else t): i for t, i in self.ids.items()}
         self.merge_to = np.array([t for _, t in self.rank.values()], np.int64)
         self._trie()
-        self.pieces: dict[str, tuple[str, int, str]] = {}
+        #: The strings of ids and tokens, by id.
+        text = [self.names.get(i, "") for i in range(size)]
+        self.digits, self.shown = pa.array(list(map(str, range(size))), pa.large_string()), pa.array(text, pa.large_string())
+        #: Numbers of the known pieces; of each number its ids as text, its number of tokens, and its tokens as text.
+        self.pieces: dict[str, int] = {}
+        self.ids_of = self.tokens_of = pa.array([], pa.large_string())
+        self.count_of = np.zeros(0, np.int64)
         #: Pieces that were in the dictionary already when they came.
         self.again: set[str] = set()
 
@@ -234,23 +239,30 @@ class Bpe:
 
     def words(self, words: list[str]) -> list[list[int]]:
         """The tokens of distinct words, given in byte symbols with \\0 at the end."""
-        out: list[list[int]] = [[]] * len(words)
+        tokens, begin, count = self._encoded(words)
+        return [tokens[a : a + n].tolist() for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As words, all words' tokens in one array; where each word's begin, and their number."""
+        begin, count, found, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int64)], 0
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
-        sizes, order = sizes[order], order.tolist()
+        sizes = sizes[order]
         at = 0
         while at < len(order):
             # Words of like length go together, as many as fit a matrix of fixed size.
             near = sizes[at : min(at + 20_000, np.searchsorted(sizes, sizes[at] + 2, "right"))]
             full = np.flatnonzero(np.arange(len(near)) * near >= 2_000_000)
             to = at + int(full[0] if len(full) else len(near))
-            part = [words[k] for k in order[at:to]]
-            for k, tokens in zip(order[at:to], self._some(part), strict=True):
-                out[k] = tokens
+            which = order[at:to]
+            tokens, count[which] = self._some([words[k] for k in which.tolist()])
+            begin[which] = total + np.cumsum(count[which]) - count[which]
+            found.append(tokens)
+            total += len(tokens)
             at = to
-        return out
+        return np.concatenate(found), begin, count
 
-    def _some(self, words: list[str]) -> list[list[int]]:
+    def _some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         symbols, sizes = self.matrix(words)
         cuts, count = self.greedy(symbols, sizes)
         pair = np.arange(cuts.shape[1] - 1) < count[:, None] - 1
@@ -260,11 +272,11 @@ class Bpe:
         failing = np.unique(owner[~good[back.ravel()]])
         if len(failing) and symbols.shape[1] <= LONG_WORD:
             cuts[failing], count[failing] = self.merged(symbols[failing], sizes[failing])
-        out = [c[:n] for c, n in zip(cuts.tolist(), count.tolist(), strict=True)]
-        if symbols.shape[1] > LONG_WORD:
+        elif len(failing):
             for k in failing.tolist():
-                out[k] = self.exact(words[k])
-        return out
+                exact = self.exact(words[k])
+                cuts[k, : len(exact)], count[k] = exact, len(exact)
+        return cuts[np.arange(cuts.shape[1]) < count[:, None]], count
 
     def split(self, piece: str) -> list[str | int]:
         """The words of a piece without white space, in byte symbols; special tokens as their ids."""
@@ -278,32 +290,50 @@ class Bpe:
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii() and text.isprintable():
-            return [w + "\0" for w in self.pattern.findall(text.lower())]
+            text = text.lower()
+            return [text + "\0"] if text.isalpha() else [w + "\0" for w in self.pattern.findall(text)]
         # Letters are lowered one by one: no final form of sigma.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return ["".join(map(self.symbols.__getitem__, w.encode())) + "\0" for w in self.pattern.findall(text)]
+        return ["".join(map(self.symbols.__getitem__, w.encode())) + "\0" for w in ([text] if text.isalpha() else self.pattern.findall(text))]
 
     def learn(self, pieces) -> None:
-        """Puts the pieces into the dictionary: ids as text, their number, tokens as text."""
-        # Most pieces are plain ASCII without special tokens, as in _plain.
-        find = self.pattern.findall
-        cut = {p: [w + "\0" for w in find(p.lower())] if p.isascii() and "<" not in p and p.isprintable() else self.split(p) for p in pieces}
-        words = list({w for c in cut.values() for w in c if isinstance(w, str)})
-        names = self.names
-        digits = {i: str(i) for i in names}
-        shown = {w: (" ".join([digits[i] for i in ids]), len(ids), " ".join([names[i] for i in ids])) if ids else None for w, ids in zip(words, self.words(words), strict=True)}
-        shown |= {i: (str(i), 1, names[i]) for i in self.special.values()}
-        for p, c in cut.items():
-            self.pieces[p] = shown[c[0]] if len(c) == 1 else _joined([shown[w] for w in c])
-
-    def pieces_of(self, text: str) -> list[str]:
-        if any(c in text for c in _SEPARATORS):
-            return _PIECES.findall(text)
-        return text.split()
+        """Puts the pieces into the dictionary."""
+        if not pieces:
+            return
+        words, sizes, plain = [], [], self._plain
+        for p in pieces:
+            cut = self.split(p) if "<" in p else plain(p)
+            words += cut
+            sizes.append(len(cut))
+        # Of distinct words and special tokens: where their tokens begin, and how many they have.
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        some = [w for w in number if isinstance(w, str)]
+        whole = [k for k, w in enumerate(number) if isinstance(w, str)]
+        tokens, at, n = self._encoded(some)
+        begin, count = np.zeros(len(number), np.int64), np.ones(len(number), np.int64)
+        begin[whole], count[whole] = at, n
+        special = [(k, w) for k, w in enumerate(number) if not isinstance(w, str)]
+        for j, (k, _) in enumerate(special):
+            begin[k] = len(tokens) + j
+        tokens = np.append(tokens, [w for _, w in special]).astype(np.int64)
+        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        unit, k = expand(count[which])
+        tokens = tokens[begin[which][unit] + k]
+        ends = np.append(0, np.cumsum(count[which]))[np.append(0, np.cumsum(sizes))]
+        first = len(self.count_of)
+        self.ids_of = pa.concat_arrays([self.ids_of, _joined(self.digits, tokens, ends)])
+        self.tokens_of = pa.concat_arrays([self.tokens_of, _joined(self.shown, tokens, ends)])
+        self.count_of = np.append(self.count_of, np.diff(ends))
+        self.pieces.update(zip(pieces, range(first, first + len(sizes)), strict=True))
 
     def rendered(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """Per text: ids joined by a space, their number, and the decoded text."""
-        # Millions of small objects without cycles are made here: the collector would only walk them.
+        ids, count, tokens = self.rendered_arrays(pa.array(texts, pa.large_string()))
+        return list(zip(ids.to_pylist(), count.tolist(), tokens.to_pylist(), strict=True))
+
+    def rendered_arrays(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """As rendered, by columns."""
+        # Many small objects without cycles are made here: the collector would only walk them.
         collecting = gc.isenabled()
         gc.disable()
         try:
@@ -312,18 +342,31 @@ class Bpe:
             if collecting:
                 gc.enable()
 
-    def _rendered(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        cut = [self.pieces_of(t) for t in texts]
-        used = set().union(*cut)
-        new = used - self.pieces.keys()
-        known = used - new
-        self.again |= known
+    def _rendered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        cut = pc.ascii_split_whitespace(texts)
+        ends = np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))).astype(np.int64)
+        cut = cut.flatten().dictionary_encode()
+        which, used = cut.indices.to_numpy(), cut.dictionary.to_pylist()
+        del cut
+        new = {p for p in used if p not in self.pieces}
+        known = [p for p in used if p not in new]
+        self.again.update(known)
         if len(self.pieces) + len(new) > CACHE_PIECES:
-            kept = self.again if len(self.again) + len(new) <= CACHE_PIECES else known
-            self.pieces = {p: self.pieces[p] for p in kept}
+            kept = list(self.again) if len(self.again) + len(new) <= CACHE_PIECES else known
+            at = np.fromiter(map(self.pieces.__getitem__, kept), np.int64, len(kept))
+            self.ids_of, self.tokens_of, self.count_of = self.ids_of.take(pa.array(at)), self.tokens_of.take(pa.array(at)), self.count_of[at]
+            self.pieces = dict(zip(kept, range(len(kept)), strict=True))
             self.again = set()
         self.learn(new)
-        return [_joined(map(self.pieces.__getitem__, c)) or ("", 0, "") for c in cut]
+        which = np.fromiter(map(self.pieces.__getitem__, used), np.int64, len(used))[which]
+        count = self.count_of[which]
+        if not count.all():
+            # Pieces without tokens, and the empty ones before and after white space, leave no space.
+            ends = np.append(0, np.cumsum(count > 0))[ends]
+            which, count = which[count > 0], count[count > 0]
+        total = np.append(0, np.cumsum(count))[ends]
+        del count
+        return _joined(self.ids_of, which, ends), np.diff(total), _joined(self.tokens_of, which, ends)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.rendered([text])[0][0].split()]
@@ -333,13 +376,15 @@ class Bpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-def _joined(parts) -> tuple[str, int, str] | None:
-    """Consecutive parts as one; a part without tokens is None."""
-    found = list(filter(None, parts))
-    if not found:
-        return None
-    ids, counts, names = zip(*found, strict=True)
-    return " ".join(ids), sum(counts), " ".join(names)
+def _joined(strings: pa.Array, which: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """For each run of which (they begin and end at ends) its strings joined by one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings.take(pa.array(which))), pa.scalar(" ", pa.large_string()))
+
+
+def _digests(texts: pa.Array) -> pa.Array:
+    """sha256 of every text, in lowercase hex."""
+    ends, data = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8).tolist(), memoryview(texts.buffers()[2] or b"")
+    return pa.array([sha256_hex(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
 
 def _model(vocabulary: bytes) -> Bpe:
@@ -367,10 +412,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe = _model(shared.value)
-        for batch in chunked(batches, keep=True):
-            got = bpe.rendered(text_column(batch, "text").to_pylist())
-            ids = pa.array([np.array(i.split(), np.int32) for i, _, _ in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), ids, pa.array([d for _, _, d in got], pa.string())], ["doc_id", "ids", "decoded"])
+        for batch in chunked(batches, limit=CHUNK_TEXT, keep=True):
+            shown, _, decoded = bpe.rendered_arrays(text_column(batch, "text"))
+            ids = pa.array([np.array(i.split(), np.int32) for i in shown.to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), ids, decoded.cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return _ready(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -381,9 +426,9 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe = _model(shared.value)
-        for batch in chunked(batches, keep=True):
-            got = bpe.rendered(text_column(batch, "text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha256_hex(i.encode()) for i, _, _ in got]), pa.array([sha256_hex(d.encode()) for _, _, d in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in chunked(batches, limit=CHUNK_TEXT, keep=True):
+            ids, count, decoded = bpe.rendered_arrays(text_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(count, pa.int64()), _digests(ids), _digests(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _ready(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -174,6 +174,23 @@ def test_bpe_dictionary_is_bounded_and_goes_with_its_stage(monkeypatch):
     assert list(common.chunked(iter([batch]))) and not common.HELD
 
 
+def test_bpe_columns_equal_the_library(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    lib = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    blanks = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B, 0xFEFF)]
+    texts = [f"{b}the{b}{b}\u0301Cat's{b} é{b}" for b in blanks] + ["", " ", "\u3000", " \xa0 a\xa0 ", "a<|endoftext|> <|startoftext|>b", "<|endoftext|>\u2003<|endoftext|>", "İ ǅungla ªº 中文 e\u0301e", "Zz" * 90 + " x", "<|x"]
+    want = [(" ".join(map(str, e.ids)), len(e.ids), lib.decode(e.ids, skip_special_tokens=False)) for e in (lib.encode(t, add_special_tokens=False) for t in texts)]
+    for bound in (300_000, 3):
+        monkeypatch.setattr(bpe, "CACHE_PIECES", bound)
+        mine = bpe.Bpe(bpe.vocabulary_bytes())
+        for a, b in ((0, 7), (7, len(texts)), (0, len(texts))):
+            ids, count, shown = mine.rendered_arrays(pa.array(texts, pa.large_string()).slice(a, b - a))
+            assert list(zip(ids.to_pylist(), count.tolist(), shown.to_pylist(), strict=True)) == want[a:b]
+            assert bpe._digests(ids.slice(1)).to_pylist() == [common.sha256_hex(w[0].encode()) for w in want[a + 1 : b]]
+            assert len(mine.pieces) == len(mine.count_of) == len(mine.ids_of) == len(mine.tokens_of)
+
+
 # 4: quality
 def test_quality_held_out(docs, labels, edges):
     truth = {r.doc_id: r.quality for r in labels.collect()}
